@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,7 +82,7 @@ def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
     if not n:
         return
     at, size = 0, 0
-    for i, width in enumerate(pa.compute.binary_length(column).fill_null(0).to_pylist()):
+    for i, width in enumerate(pc.binary_length(column).fill_null(0).to_pylist()):
         if size and size + width > limit:
             yield column.slice(at, i - at)
             at, size = i, 0
