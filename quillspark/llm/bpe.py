@@ -30,7 +30,7 @@ from .common import prepare, q, texts_of, pieces, without
 LONG = 256
 EDGES = (2, 3, 4, 6, 8, 12, 16, 24, 32, 48, 64, 96, 128, 192, LONG)
 NONE = np.int32(2**31 - 1)
-CACHE = 400_000
+CACHE = 200_000
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 
 
@@ -90,6 +90,17 @@ class Vocabulary:
             self.bytes_of[v] = k
         self.known = np.array([bool(x) for x in self.bytes_of])
         self.single = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
+        self.slots = self.merged = None
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop what is kept of pieces seen so far: their numbers, and by number the ids of each."""
+        self.numbers, self.used = Numbers(), 0
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def build_pairs(self) -> None:
+        """The hash table of pairs; only encoding needs it."""
+        ranks = self.ranks
         left, right, into = [], [], []
         for k, v in ranks.items():
             for i in range(1, len(k)):
@@ -109,12 +120,6 @@ class Vocabulary:
             self.slots[at[put]], self.merged[at[put]] = keys[put], np.array(into, np.int32)[put]
             todo = np.setdiff1d(todo, put, assume_unique=True)
             at[todo] = (at[todo] + 1) & ((1 << self.bits) - 1)
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop what is kept of pieces seen so far: their numbers, and by number the ids of each."""
-        self.numbers, self.used = Numbers(), 0
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -232,6 +237,8 @@ class Vocabulary:
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
+        if self.slots is None:
+            self.build_pairs()
         if len(self.numbers) > CACHE or self.used > 8 * CACHE:
             self.forget()
         first, per_text = len(self.numbers), []

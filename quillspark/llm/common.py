@@ -14,11 +14,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_ROWS = 1000
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package when the driver found it through its own sys.path only."""
+    """Let Python workers import this package when the driver found it through its own sys.path only, and send them long texts in
+    batches of BATCH_ROWS rows at most: the session's default of 10,000 rows holds 30 MB and more in each of several buffers.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     env = spark.sparkContext.environment
     paths = (env.get("PYTHONPATH") or os.environ.get("PYTHONPATH", "")).split(os.pathsep)
     if ROOT not in paths:
