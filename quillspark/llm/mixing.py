@@ -64,8 +64,13 @@ def schedule(shares: Mapping) -> dict:
     return out
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping | None = None, block: int = BLOCK, alpha: float = ALPHA, quanta: int = QUANTA, bucket: int = BUCKET, position: str = "position", epoch: str = "epoch") -> DataFrame:
-    """df's rows in the mix: its columns, and the row's place in it (from 0, without gaps) and epoch. Unsorted.
+def mix(df: DataFrame, *args, **how) -> DataFrame:
+    """The mix of mix_and_length() alone."""
+    return mix_and_length(df, *args, **how)[0]
+
+
+def mix_and_length(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping | None = None, block: int = BLOCK, alpha: float = ALPHA, quanta: int = QUANTA, bucket: int = BUCKET, position: str = "position", epoch: str = "epoch") -> tuple[DataFrame, int]:
+    """df's rows in the mix: its columns, and the row's place in it (from 0, without gaps) and epoch; unsorted. Also the mix's number of rows.
 
     weights: by source; by default each source's number of rows to the power alpha.
     """
@@ -97,7 +102,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
     every = every.withColumn("_x", F.expr("_k + _epoch * _n")).withColumn("_i", F.expr(f"_x DIV {block}"))
     out = every.selectExpr("_row", f"((_i DIV _p) * {quanta} + element_at(_slots, CAST(_i % _p AS INT) + 1)) * {block} + _x % {block} AS _position", "_epoch")
     gone = {position.lower(), epoch.lower()}
-    return out.select(*(F.col("_row")[c].alias(c) for c in names if c.lower() not in gone), F.col("_position").alias(position), F.col("_epoch").alias(epoch))
+    return out.select(*(F.col("_row")[c].alias(c) for c in names if c.lower() not in gone), F.col("_position").alias(position), F.col("_epoch").alias(epoch)), length * block
 
 
 def in_order(mixed: DataFrame, rows: int, position: str = "position") -> DataFrame:
