@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, gbdt, langid, minhash, mixing
+from . import bpe, chat, gbdt, langid, minhash, mixing, token_store
 from .common import prepare, remainder
 
+WORD_TOKENIZER = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_multi_50k.tiktoken"
 QUALITY_FLOOR = 0.3
 
@@ -26,6 +27,26 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    path = token_store.write(docs, public_tokenizers.path(WORD_TOKENIZER))
+    return token_store.checksums(token_store.documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.range(1).selectExpr("-7L AS conv_id", "inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))").withColumn("text", F.lit(said))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    events = turns.withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
+    back = chat.parse(chat.format_chats(events))
+    loss = F.array_join(F.transform(F.filter("messages", lambda m: m.learn), lambda m: m.text), "")
+    spoken = F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit("\n"), m.text, F.lit("\n"))), "")
+    return back.select(
+        F.col("conversation").alias("conv_id"), F.size("messages").cast("long").alias("n_turns"), F.sha2(spoken, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,6 +72,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
+        "op2_token_files": op2_token_files,
+        "op3_chat": op3_chat,
         "op4_minhash": op4_minhash,
         "op5_mixing": op5_mixing,
         "op7_quality": op7_quality,
