@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gbdt, langid, minhash, mixing, token_store
+from . import bpe, chat, gbdt, ivfpq, langid, minhash, mixing, token_store
 from .common import prepare, remainder
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -55,6 +55,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
 
 
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("id") % 20 == 0, k=20)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     trees = gbdt.learn(docs, labels, where=remainder(F.col("doc_id"), 5) != 0)
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_chat": op3_chat,
         "op4_minhash": op4_minhash,
         "op5_mixing": op5_mixing,
+        "op6_neighbours": op6_neighbours,
         "op7_quality": op7_quality,
         "op9_language_id": op9_language_id,
     }
