@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, gbdt, ivfpq, langid, minhash, mixing, nra, token_store
+from . import bpe, chat, gbdt, ivfpq, langid, licenses, minhash, mixing, nra, token_store
 from .common import prepare, remainder
 
 WORD_TOKENIZER = "word_bpe_49k.json"
@@ -77,6 +77,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.explode("licenses").alias("f")).select("doc_id", "f.*")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_byte_bpe": op1_byte_bpe,
@@ -88,6 +93,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_quality": op7_quality,
         "op8_exact_top": op8_exact_top,
         "op9_language_id": op9_language_id,
+        "op10_licenses": op10_licenses,
     }
 
 
