@@ -13,6 +13,7 @@ wordless texts have no findings; repeats within a text are findings each; texts
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator, Mapping
 from itertools import takewhile
 
@@ -134,11 +135,14 @@ class Library:
                 matched, first, last = align(template, words, low - BAND, high + BAND)
                 if first >= 0 and matched / len(template) >= min_coverage:
                     own.append((-matched / len(template), -matched, name, first, last))
-        taken: list[tuple[int, int]] = []
+        starts: list[int] = []  # of the spans taken so far, which do not overlap, in order
+        ends: list[int] = []
         out = []
         for coverage, matched, name, first, last in sorted(set(own)):
-            if all(last < a or first > b for a, b in taken):
-                taken.append((first, last))
+            at = bisect(starts, first)
+            if not (at and ends[at - 1] >= first or at < len(starts) and starts[at] <= last):
+                starts.insert(at, first)
+                ends.insert(at, last)
                 out.append({"license": self.names[name], "coverage": -coverage, "matched_words": -matched, "start_char": int(first_char[first]), "end_char": int(past_char[last])})
         return sorted(out, key=lambda f: (f["start_char"], f["license"]))
 
