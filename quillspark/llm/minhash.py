@@ -10,8 +10,8 @@ entry with the probability of their weighted Jaccard similarity.
 Signatures are cut into BANDS of ROWS entries; texts that share a band are candidates. At a similarity of 0.8 the chance that no band is shared
 is (1 - 0.8^5)^30 < 7e-6. In each shared band, one leader is compared with the rest, never all pairs: exact similarity of the
 shingle sets (32-bit hashes) decides. Then components are built, and while a band still holds more than one component, the next round tries
-another leader there against the members of other components. It ends when all bands hold one component, every pair with a leader has been
-compared, or two rounds in a row found no link.
+further leaders there (LEADERS at a time) against the members of other components. It ends when all bands hold one component, every pair with a
+leader has been compared, or a round after the first found no link.
 
 Identical texts are one class whatever they hold (null counts as empty); they are collapsed before anything else. Texts without words link to
 identical texts only. Nothing is capped.
@@ -33,6 +33,10 @@ from pyspark.sql import types as T
 from .common import pieces, prepare, q, texts_of, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 5
+#: Leaders that a band tries at a time once the first one has been compared.
+LEADERS = 4
+#: Rows that make a task worth its while, and how many such rows a pair of shingle sets counts for.
+ROWS_A_TASK, SET_ROWS = 20_000, 20
 U = np.uint64
 
 
@@ -180,15 +184,23 @@ def sets_of(text: Column, size: int, weights: str) -> Column:
     return members(text)
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """df in fewer partitions if so few rows (a measured number) leave the session's number of them nearly empty."""
+    parts = max(1, -(-rows // ROWS_A_TASK))
+    return df.coalesce(parts) if parts < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def components(edges: DataFrame, name: str) -> DataFrame:
     """(node, label): the smallest node of each node's component, for the nodes of edges (a, b). Labels spread to neighbours and jump along labels."""
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), f"{name}-edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")), f"{name}-labels")
+    both = written(edges.select("a", "b").union(edges.select("b", "a")), f"{name}-edges")
+    rows = both.count()
+    labels = written(sized(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")), rows).select("node", F.least("node", "label").alias("label")), f"{name}-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        once = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("next"))
+        near = sized(both.join(labels.withColumnRenamed("node", "b"), "b"), rows).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        once = sized(labels.join(near, "node"), rows).select("node", "label", F.least("label", "near").alias("next"))
+        once = written(once, f"{name}-labels")
         jump = once.select(F.col("node").alias("next"), F.col("next").alias("jump"))
-        new = written(once.join(jump, "next").select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("label")).alias("changed")), f"{name}-labels")
+        new = written(sized(once.join(jump, "next"), rows).select("node", F.least("next", "jump").alias("label"), (F.least("next", "jump") != F.col("label")).alias("changed")), f"{name}-labels")
         labels = new.select("node", "label")
         if new.where("changed").isEmpty():
             return labels
@@ -216,25 +228,38 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     texts = base.join(candidates.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = written(texts.select("node", sets_of(F.col("text"), size, weights).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
 
-    labels, links, tested, idle = None, None, None, 0
+    rows_ = members.count()
+    labels, tested = None, None
     for turn in count():
-        own = members.withColumn("label", F.col("node")) if labels is None else members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lead = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "label")).alias("lead")).where("lo <> hi").select("band", "lead")
-        pairs = own.join(lead, "band").where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        if pairs.isEmpty():
+        own = members.withColumn("label", F.col("node")) if labels is None else sized(members.join(labels, "node", "left"), rows_).withColumn("label", F.coalesce("label", "node"))
+        # The first leader is the band's smallest node; then some at a time.
+        leaders = [F.min(F.struct("node", "label"))] if not turn else [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node", "label")) for i in range(LEADERS)]
+        lead = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*leaders).alias("lead")).where("lo <> hi").select("band", F.explode("lead").alias("lead"))
+        pairs = sized(own.join(lead, "band"), rows_).where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        pairs = written(sized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows_), "minhash-pairs")
+        n = pairs.count()
+        if not n:
             break
-        second = pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-        both = second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a")
+        second = sized(pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), n * SET_ROWS)
+        both = sized(second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"), n * SET_ROWS)
         common = F.size(F.array_intersect("set_a", "set_b"))
         near = written(both.where(common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "minhash-links")
         tested = pairs if tested is None else tested.union(pairs)
-        idle = idle + 1 if near.isEmpty() else 0
-        if idle == 2:
-            break
-        if not idle:
-            links = near if links is None else links.union(near)
-            labels = components(links, "minhash")
+        if near.isEmpty():
+            if turn:
+                break
+            continue
+        if labels is None:
+            labels = components(near, "minhash")
+            continue
+        # Later links join components found so far: their labels are the nodes of a smaller graph.
+        known = labels.select("node", "label")
+        ends = near.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        ends = sized(ends, n).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = components(ends, "minhash")
+        moved = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = merged.join(known, "node", "left_anti").select("node", "label")
+        labels = written(sized(moved.unionByName(fresh), rows_), "minhash-labels")
     if labels is None:
         out = reps.withColumn("class_id", F.col("rep")).withColumn("keeper", F.lit(True))
         return out.drop("bands")
