@@ -82,7 +82,7 @@ def claim_matches(found: DataFrame, gold: DataFrame) -> DataFrame:
 
 def confusion(rows: DataFrame, gold: str, predicted: str, values: list) -> DataFrame:
     """[A19] A row for each true value, a column for each predicted one."""
-    counts = rows.groupBy(gold).pivot(predicted, values).agg(F.count("*"))
+    counts = rows.groupBy(gold).pivot(predicted, values).agg(F.count(F.lit(1)))
     return counts.select(gold, *(F.coalesce(F.col(str(v)), F.lit(0)).alias(f"predicted_{v}") for v in values))
 
 

@@ -5,6 +5,10 @@ Every top-k is a window by query; Spark keeps only k rows of each query in a tas
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,10 +60,25 @@ def bm25(items: DataFrame, queries: DataFrame, key: str, text: str = "text", k:
 
 
 def embedded(items: DataFrame, text: str = "text", out: str = "vector", dim: int = DIMENSIONS) -> DataFrame:
-    """[V1, V2] items with an embedding without a model: terms counted by a hash bucket (md5, so that any engine agrees), to unit length; zeros for no terms."""
-    return items.withColumn("_terms", t.terms(F.col(text))).withColumn("_b", F.transform("_terms", lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)).withColumn(
-        "_c", F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda d: F.size(F.filter(F.col("_b"), lambda b: b == d)).cast("double"))
-    ).withColumn("_n", F.sqrt(F.aggregate("_c", F.lit(0.0), lambda s, c: s + c * c))).withColumn(out, F.transform("_c", lambda c: F.when(F.col("_n") > 0, c / F.col("_n")).otherwise(0.0))).drop("_terms", "_b", "_c", "_n")
+    """[V1, V2] items with an embedding without a model: terms counted by a hash bucket (md5, so that any engine agrees), to unit length; zeros for no terms.
+
+    Terms and hashes are made in the JVM. Counting is a batch of rows at once in numpy: as expressions it would scan a text's terms for each dimension.
+    """
+
+    @F.arrow_udf("array<double>")
+    def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in batches:
+            n = len(lists)
+            size = np.diff(lists.offsets.to_numpy())
+            buckets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            counts = np.bincount(np.repeat(np.arange(n), size) * dim + buckets, minlength=n * dim).reshape(n, dim).astype(float)
+            norm = np.sqrt((counts**2).sum(1, keepdims=True))
+            flat = np.divide(counts, norm, out=np.zeros_like(counts), where=norm > 0).ravel()
+            yield pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dim, pa.int32()), pa.array(flat))
+
+    words = F.coalesce(t.terms(F.col(text)), F.array().cast("array<string>"))
+    buckets = F.transform(words, lambda w: F.conv(F.substring(F.md5(w), 1, 4), 16, 10).cast("int") % dim)
+    return items.withColumn(out, counted(buckets))
 
 
 def dense(items: DataFrame, queries: DataFrame, key: str, vector: str = "vector", k: int = EACH, skip_self: bool = False) -> DataFrame:
