@@ -1,12 +1,11 @@
 """Exact top-k by inner product of whole-number vectors, by no-random-access aggregation of sorted lists.
 
 In a block of rows each component is a list sorted by value, read from the end that the query's component likes best. After reading all
-lists to some depth, a row's score lies between what has been read of it plus the worst that each unread list still holds, and the
-same plus the best: the value at the depth reached. Rows whose upper bound is under the k-th best score so far go; rows not
-read anywhere are outsiders with the sum of those values as bound, so the first depth is the one at which outsiders cannot qualify.
-Reading goes on at greater depths for the rows left, until all of them are read in full, which resolves their scores. Ties at the
-bound are kept and broken by the smaller id. A task reads its rows as sub-blocks of LISTS rows, one after another, and carries each query's
-k-th best score along.
+lists to some depth, a row's score lies between what has been read of it plus the worst that each list unread for it still holds, and the
+same plus the best: the value at the depth reached. Reading stops at the first of DEPTHS at which outsiders, rows not read anywhere, have an upper bound
+under the k-th best score so far; the rows whose upper bound reaches it go on, to greater depths while they are many, and their lower bounds raise
+the k-th best. The scores of the few rows left are then resolved. Ties at the bound are kept and broken by the smaller id. A task reads its rows
+as sub-blocks of LISTS rows, one after another, and carries each query's k-th best score along.
 
 Rows go into blocks of about BLOCK, queries into blocks of QUERY_BLOCK; every block of rows meets every block of queries in one task, and the k best of
 each are merged. Nothing is approximated. Components become floor(scale * x) in double precision; scores are exact
@@ -28,51 +27,45 @@ from .common import prepare, q, written
 from .ivfpq import matrix, top
 
 BLOCK, LISTS, QUERY_BLOCK = 16_384, 2048, 512
-DEPTHS = (0.55, 0.7, 0.85, 1.0)
+DEPTHS = (0.6, 0.75, 0.9)
 
 
 class SortedLists:
-    """The rows of a sub-block as one sorted list for each component."""
+    """The rows of a sub-block as one sorted list for each component: values, and whose they are."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids, self.x, self.n = ids, x, len(x)
-        order = np.argsort(x, axis=0, kind="stable")
-        self.values = np.take_along_axis(x, order, 0)
-        self.place = np.empty(x.shape, np.int32)  # a row's place in each list, from the smallest value
-        np.put_along_axis(self.place, order, np.arange(self.n, dtype=np.int32)[:, None], 0)
+        self.rows = np.argsort(x.T, axis=1, kind="stable")
+        self.values = np.take_along_axis(x.T, self.rows, 1)
 
     def frontier(self, query: np.ndarray, depth: int) -> np.ndarray:
         """The best that each list still holds beyond the first depth entries."""
-        at = np.where(query > 0, self.n - 1 - depth, depth)
-        return query * self.values[at, np.arange(len(query))]
+        return query * self.values[np.arange(len(query)), np.where(query > 0, self.n - 1 - depth, depth)]
+
+    def read(self, up: np.ndarray, down: np.ndarray, query: np.ndarray, depth: int, less: np.ndarray) -> np.ndarray:
+        """For each row the sum of what the first depth entries of all lists say of it, each less what it was assumed to hold unread."""
+        parts = ((up, slice(self.n - depth, self.n)), (down, slice(0, depth)))
+        rows = np.concatenate([self.rows[which, at].ravel() for which, at in parts])
+        said = np.concatenate([(self.values[which, at] * query[which, None] - less[which, None]).ravel() for which, at in parts])
+        return np.bincount(rows, said, self.n)
 
     def best(self, query: np.ndarray, own_id: int, k: int, bound: float) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of all rows that may be among the k best, given that k rows elsewhere score `bound` or more."""
-        used = np.flatnonzero(query)
-        live = np.flatnonzero(self.ids != own_id)
-        depth = self.n
-        if np.isfinite(bound):  # the least depth at which outsiders cannot qualify
-            low, high = 0, self.n
-            while low < high:
-                mid = (low + high) // 2
-                low, high = (low, mid) if self.frontier(query, mid).sum() < bound else (mid + 1, high)
-            depth = low
-        while True:
-            read = self.x[np.ix_(live, used)] * query[used]
-            if depth >= self.n:
-                return self.ids[live], read.sum(1)
-            place = self.place[np.ix_(live, used)]
-            unread = np.where(query[used] > 0, self.n - 1 - place, place) >= depth
-            ahead, worst = self.frontier(query, depth)[used], np.minimum(query * self.values[0], query * self.values[-1])[used]
-            read[unread] = 0
-            known = read.sum(1)
-            upper, lower = known + unread @ ahead, known + unread @ worst
-            if len(lower) >= k:
+        up, down = np.flatnonzero(query > 0), np.flatnonzero(query < 0)
+        worst = np.minimum(query * self.values[:, 0], query * self.values[:, -1])
+        other = self.ids != own_id
+        live = np.flatnonzero(other)
+        for depth in (int(self.n * share) for share in DEPTHS):
+            ahead = self.frontier(query, depth)
+            if len(live) <= 4 * k or ahead.sum() >= bound:
+                continue  # outsiders can still qualify at this depth: read on
+            live = np.flatnonzero((ahead.sum() + self.read(up, down, query, depth, ahead) >= bound) & other)
+            if len(live) > 4 * k:  # the rows' lower bounds may raise the k-th best
+                lower = (worst.sum() + self.read(up, down, query, depth, worst))[live]
                 bound = max(bound, np.partition(lower, -k)[-k])
-            live = live[upper >= bound]
-            if not len(live):
-                return self.ids[:0], known[:0]
-            depth = next((d for d in (int(self.n * s) for s in DEPTHS) if d > depth), self.n)
+        scores = self.x[live] @ query
+        keep = scores >= bound
+        return self.ids[live[keep]], scores[keep]
 
 
 def block_best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
