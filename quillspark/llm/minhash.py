@@ -218,8 +218,8 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     base = docs.select(q(key).alias("id"), q(text).alias("text")).withColumn("node", text_node(F.col("text")))
     signed = base.select("node", "id", bands_of(F.col("text"), size, bands, rows, weights).alias("bands"))
     per_id = signed.groupBy("node", "id").agg(F.count("*").alias("n"), F.first("bands").alias("bands"))
-    reps = per_id.groupBy("node").agg(F.min(F.struct("id", "n")).alias("low"), F.sum("n").alias("n_rows"), F.first("bands").alias("bands"))
-    reps = written(reps.select("node", F.col("low.id").alias("rep"), F.col("low.n").alias("rep_rows"), "n_rows", "bands"), "minhash-texts")
+    reps = per_id.groupBy("node").agg(F.min(F.struct("id", "n")).alias("low"), F.min("id").alias("least_id"), F.sum("n").alias("n_rows"), F.first("bands").alias("bands"))
+    reps = written(reps.select("node", F.col("low.id").alias("rep"), F.col("low.n").alias("rep_rows"), "least_id", "n_rows", "bands"), "minhash-texts")
 
     every = reps.select("node", F.explode("bands").alias("band"))
     shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
@@ -261,13 +261,13 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         fresh = merged.join(known, "node", "left_anti").select("node", "label")
         labels = written(sized(moved.unionByName(fresh), rows_), "minhash-labels")
     if labels is None:
-        out = reps.withColumn("class_id", F.col("rep")).withColumn("keeper", F.lit(True))
-        return out.drop("bands")
+        out = reps.withColumn("class_id", F.col("least_id")).withColumn("keeper", F.lit(True))
+        return out.drop("bands", "least_id")
     linked = reps.drop("bands").join(labels, "node")
-    least = linked.groupBy("label").agg(F.min("rep").alias("class_id"), F.min(F.struct("rep", "node")).alias("low"))
+    least = linked.groupBy("label").agg(F.min("least_id").alias("class_id"), F.min(F.struct("rep", "node")).alias("low"))
     linked = linked.join(least, "label").withColumn("keeper", F.col("node") == F.col("low.node")).drop("low", "label")
-    alone = reps.drop("bands").join(labels, "node", "left_anti").withColumn("class_id", F.col("rep")).withColumn("keeper", F.lit(True))
-    return written(linked.unionByName(alone), "minhash-classes")
+    alone = reps.drop("bands").join(labels, "node", "left_anti").withColumn("class_id", F.col("least_id")).withColumn("keeper", F.lit(True))
+    return written(linked.unionByName(alone).drop("least_id"), "minhash-classes")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
