@@ -13,6 +13,7 @@ An empty table gives no rows. Columns of other names stay out of the files unles
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .bpe import Numbers
 from .common import batches_by_bytes, prepare, q, table_path, texts_of
 
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 128 << 10, 2000
@@ -31,52 +33,76 @@ OPTIONS = {
     "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
     "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.page.write-checksum.enabled": "true",
 }
-CACHE = 200_000
+CACHE = 400_000
+LAST_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 NAMES = ("shard", "n_tokens", "first", "tokens")
 
 
 class WordEncoder:
-    """Ids by the tokenizers library. Blanks and line feeds separate its words whatever stands around them, so each distinct run between them is encoded once."""
+    """Ids by the tokenizers library, for a tokenizer that lower-cases, drops white space and merges within words.
+
+    Blanks and line feeds part its words whatever stands around them, and a stop or comma between an ASCII letter and one of these is a word of its own, so
+    each distinct run between such places is encoded once. ASCII letters are lower-cased first, but not in texts with combining marks: there lower
+    case before composition is not the same as after. Runs go to the library many at a time, with a special token between them, which parts their
+    ids again; a run that might spell such a token goes alone, as ordinary text.
+    """
 
     def __init__(self, content: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(content)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.alone, self.joined = Tokenizer.from_str(content), Tokenizer.from_str(content)
+        self.alone.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.part_id, token = min(self.joined.get_added_tokens_decoder().items())
+        self.part = token.content
         self.forget()
 
     def forget(self) -> None:
-        self.numbers: dict[str, int] = {}
-        self.starts, self.sizes, self.flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
-        self.used = 0
+        self.numbers, self.used = Numbers(), 0
+        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def runs(self, text: str) -> list[bytes]:
+        raw = text.encode("utf-8", "replace")
+        if b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = LAST_STOP.sub(rb" \1", raw.lower())
+        return raw.replace(b"\n", b" ").split(b" ")
+
+    def add(self, fresh: list[bytes]) -> None:
+        texts = [r.decode("utf-8") for r in fresh]
+        odd = [i for i, t in enumerate(texts) if self.part[:2] in t]
+        own = {i: self.alone.encode(texts[i], add_special_tokens=False).ids for i in odd}
+        for i in odd:
+            texts[i] = ""
+        parts, sizes = [], []
+        for at in range(0, len(texts), 1024):
+            some = texts[at : at + 1024]
+            ids = np.array([*self.joined.encode_batch_fast([self.part.join(some)], add_special_tokens=False)[0].ids, self.part_id], np.int32)
+            ends = np.flatnonzero(ids == self.part_id)
+            sizes.append(np.diff(ends, prepend=-1) - 1)
+            parts.append(ids[ids != self.part_id])
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
+        start = self.used + np.cumsum(size) - size
+        self.used += len(flat)
+        for i in odd:
+            start[i], size[i] = self.used, len(own[i])
+            flat = np.concatenate([flat, np.array(own[i], np.int32)])
+            self.used += len(own[i])
+        self.starts, self.sizes, self.flat = (np.concatenate(x) for x in ((self.starts, start), (self.sizes, size), (self.flat, flat)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.numbers) > CACHE:
             self.forget()
-        known, numbers = len(self.numbers), self.numbers
-        per_text = []
+        known, per_text = len(self.numbers), []
         for text in texts:
-            runs = text.replace("\n", " ").split(" ")
-            for run in runs:
-                if run not in numbers:
-                    numbers[run] = len(numbers)
-            per_text.append(np.fromiter(map(numbers.__getitem__, runs), np.int64, len(runs)))
-        fresh = list(islice(numbers, known, None))
-        for at in range(0, len(fresh), 4096):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(fresh[at : at + 4096], add_special_tokens=False)]
-            size = np.fromiter(map(len, found), np.int64, len(found))
-            self.starts.append(self.used + np.cumsum(size) - size)
-            self.sizes.append(size)
-            self.flat.append(np.fromiter((x for ids in found for x in ids), np.int32, int(size.sum())))
-            self.used += int(size.sum())
-        starts, sizes, flat = (np.concatenate(x) for x in (self.starts, self.sizes, self.flat))
-        self.starts, self.sizes, self.flat = [starts], [sizes], [flat]
+            runs = self.runs(text)
+            per_text.append(np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs)))
+        if len(self.numbers) > known:
+            self.add(list(islice(self.numbers, known, None)))
         out = []
         for index in per_text:
-            size = sizes[index]
+            size = self.sizes[index]
             ends = np.cumsum(size)
-            out.append(flat[np.repeat(starts[index] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+            out.append(self.flat[np.repeat(self.starts[index] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
         return out
 
 

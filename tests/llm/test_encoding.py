@@ -58,6 +58,19 @@ def test_encode_and_decode_tables(spark):
         OURS.decode(np.array([60_000]))
 
 
+WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
+LIBRARY = Tokenizer.from_file(WORD_FILE)
+LIBRARY.encode_special_tokens = True
+odd = st.sampled_from([*" \n\t.,'JHKİßÉaeisz09*%-_~<|>ΣςΩ日🙂\x1c\x85\u0301\u030c\u0307\u0331\u00a0", "it's", "<|startoftext|>", "<|ENDOFTEXT|>", "word", "Word.", "a,b", ",,", "..."])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(odd, max_size=14).map("".join), min_size=1, max_size=3))
+def test_words_are_those_of_the_library(texts):
+    ours = token_store.encoder(open(WORD_FILE, encoding="utf-8").read()).encode(texts)
+    assert [x.tolist() for x in ours] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_files(spark, tmp_path):
     texts = ["", "Hello  World\nagain", None, "<|startoftext|> x", "ÉÉ 日本 \x1c a b", "w " * 5000, "tie", "tie"]
     rows = [(10 - i, t, "src", 7) for i, t in enumerate(texts)] + [(None, "no id", None, 1)]
