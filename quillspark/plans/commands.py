@@ -65,7 +65,7 @@ def answer(spark: SparkSession, table: ChunkTable, gaps_path: str, k: int = answ
     """[C6] A stub for each gap: evidence, draft, attribution and strength."""
     gaps = sampled(read_gaps(spark, gaps_path), sample, "query_id")
     rows = table.read().select("chunk_id", "source_rel", "text")
-    hits = retrieval.search(rows.select("chunk_id", "text"), gaps.select("query_id", F.col("gap_question").alias("query")), "chunk_id", "rerank", k)
+    hits = retrieval.search(rows.select("chunk_id", "text"), gaps.select("query_id", F.col("gap_question").alias("query")), "chunk_id", mode="rerank", k=k)
     hints = gaps.select("query_id", F.posexplode("supporting_chunk_ids").alias("place", "chunk_id"))
     found = answers.evidence(hits, hints, rows, "chunk_id", k).join(rows, "chunk_id")
     best = found.groupBy("query_id").agg(F.min(F.struct("rank", "chunk_id", "text")).alias("first"), F.sort_array(F.collect_set("chunk_id")).alias("retrieved"))
