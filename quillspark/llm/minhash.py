@@ -9,9 +9,10 @@ entry with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into BANDS of ROWS entries; texts that share a band are candidates. At a similarity of 0.8 the chance that no band is shared
 is (1 - 0.8^5)^30 < 7e-6. In each shared band, one leader is compared with the rest, never all pairs: exact similarity of the
-shingle sets (32-bit hashes) decides. Then components are built, and while a band still holds more than one component, the next round tries
-further leaders there (LEADERS at a time) against the members of other components. It ends when all bands hold one component, every pair with a
-leader has been compared, or a round after the first found no link.
+shingle sets (32-bit hashes) decides, after their sizes. The leader is the most central member, whose bands are the largest together: of a text and its
+copies, which may each differ elsewhere, that is the text. Then components are built, and while a band still holds more than one component, the next
+round tries members of further components there (LEADERS at a time, more in a small band, central ones first, later any) against the members of other components. It ends when
+all bands hold one component, every pair with a leader has been compared, or a round after the first found no link.
 
 Identical texts are one class whatever they hold (null counts as empty); they are collapsed before anything else. Texts without words link to
 identical texts only. Nothing is capped.
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 from .common import pieces, prepare, q, texts_of, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 5
-#: Leaders that a band tries at a time once the first one has been compared.
-LEADERS = 4
+#: Leaders that a band tries at a time once the first one has been compared; and in a band of at most SMALL members.
+LEADERS, SMALL_LEADERS, SMALL = 2, 8, 16
 #: Rows that make a task worth its while, and how many such rows a pair of shingle sets counts for.
 ROWS_A_TASK, SET_ROWS = 20_000, 20
 U = np.uint64
@@ -148,17 +149,20 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def bands_of(text: Column, size: int, bands: int, rows: int, weights: str) -> Column:
-    """An array of band keys; null for a text without words."""
+    """The keys of a text's bands (null for a text without words) and the size of its set."""
+    kind = T.StructType([T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("size", T.LongType())])
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
+    @F.arrow_udf(kind)
     def keys(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out: list = []
+            sizes: list = []
             for piece in pieces(batch):
                 items, w, at = elements(texts_of(piece), size, weights)
                 found = band_keys(signatures(items, w, at, bands * rows), bands, rows)
                 out += [x if full else None for x, full in zip(found, np.diff(at) > 0, strict=True)]
-            yield pa.array(out, pa.list_(pa.int64()))
+                sizes += np.diff(np.concatenate([[0], np.cumsum(w)])[at]).astype(np.int64).tolist()
+            yield pa.StructArray.from_arrays([pa.array(out, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["keys", "size"])
 
     return keys(text)
 
@@ -221,21 +225,28 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     reps = per_id.groupBy("node").agg(F.min(F.struct("id", "n")).alias("low"), F.min("id").alias("least_id"), F.sum("n").alias("n_rows"), F.first("bands").alias("bands"))
     reps = written(reps.select("node", F.col("low.id").alias("rep"), F.col("low.n").alias("rep_rows"), "least_id", "n_rows", "bands"), "minhash-texts")
 
-    every = reps.select("node", F.explode("bands").alias("band"))
-    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(every.join(shared, "band"), "minhash-bands")
+    every = reps.select("node", F.col("bands.size").alias("size"), F.explode("bands.keys").alias("band"))
+    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    found = written(every.join(shared, "band"), "minhash-bands")
+    rows_ = found.count()
+    central = sized(found.groupBy("node").agg(F.sum("n").alias("central")), rows_)
+    members = written(sized(found.drop("n").join(central, "node"), rows_), "minhash-members")
     candidates = members.select("node").distinct().join(reps.select("node", "rep"), "node")
     texts = base.join(candidates.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = written(texts.select("node", sets_of(F.col("text"), size, weights).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
 
-    rows_ = members.count()
     labels, tested = None, None
     for turn in count():
         own = members.withColumn("label", F.col("node")) if labels is None else sized(members.join(labels, "node", "left"), rows_).withColumn("label", F.coalesce("label", "node"))
-        # The first leader is the band's smallest node; then some at a time.
-        leaders = [F.min(F.struct("node", "label"))] if not turn else [F.min(F.struct(F.xxhash64("node", F.lit(turn), F.lit(i)).alias("h"), "node", "label")) for i in range(LEADERS)]
-        lead = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.array(*leaders).alias("lead")).where("lo <> hi").select("band", F.explode("lead").alias("lead"))
-        pairs = sized(own.join(lead, "band"), rows_).where("label <> lead.label").select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
+        # Of each component in a band one member may lead; the components are dealt by hash into as many classes as there are leaders.
+        key = -F.col("central") if turn < 2 else F.xxhash64("node", F.lit(turn))
+        heads = own.groupBy("band", "label").agg(F.min(F.struct(key.alias("key"), "node", "size")).alias("head"), F.count("*").alias("held"))
+        dealt, head = F.xxhash64("label", F.lit(turn)), F.struct("head.key", "head.node", "head.size", "label")
+        few, many = (F.array(*(F.min(F.when(F.pmod(dealt, F.lit(n)) == i, head)) for i in range(n))) for n in ((LEADERS, SMALL_LEADERS) if turn else (1, 1)))
+        lead = heads.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("held").alias("held"), few.alias("few"), many.alias("many"))
+        lead = lead.where("lo <> hi").select("band", F.explode(F.when(F.col("held") <= SMALL, F.col("many")).otherwise(F.col("few"))).alias("lead")).where("lead IS NOT NULL")
+        alike = (F.col("label") != F.col("lead.label")) & (F.least("size", "lead.size") >= threshold * F.greatest("size", "lead.size"))
+        pairs = sized(own.join(lead, "band"), rows_).where(alike).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
         pairs = written(sized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows_), "minhash-pairs")
         n = pairs.count()
         if not n:
