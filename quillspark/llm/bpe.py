@@ -271,7 +271,7 @@ def encode(df: DataFrame, ranks_path: str, text: str = "text", out: str = "ids")
     """df with a binary column of each whole text's ids, unsigned 32-bit little-endian; a column of that name is replaced.
 
     The rank file is read by the driver and goes along with the function (under 1 MB, whatever the input). Null and empty texts
-    give no bytes. No shuffle; memory is bounded by pieces of 4 MB of text, or one text.
+    give no bytes. No shuffle; memory is bounded by pieces of 1 MB of text, or one text.
     """
     prepare(df.sparkSession)
     with open(ranks_path, "rb") as f:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -81,8 +82,15 @@ def texts_of(column: pa.Array) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
-    """Slices of a string or binary column of about limit bytes each, at least a row."""
+def give_back() -> None:
+    """Return freed memory to the system, where the C library can: a worker serves one operator after another, and would keep the most that any of them took."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def pieces(column: pa.Array, limit: int = 1 << 20) -> Iterator[pa.Array]:
+    """Slices of a string or binary column of about limit bytes each, at least a row. Memory is given back after the last."""
     n = len(column)
     if not n:
         return
@@ -93,9 +101,10 @@ def pieces(column: pa.Array, limit: int = 4 << 20) -> Iterator[pa.Array]:
             at, size = i, 0
         size += width
     yield column.slice(at)
+    give_back()
 
 
-def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def batches_by_bytes(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Record batches cut so that one text column holds about limit bytes in each."""
     for batch in batches:
         at = 0

@@ -111,7 +111,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
     picked = known.where(F.pmod(F.xxhash64(q(text), F.lit("langid")), F.lit(1_000_003)) < share[q(lang)] * 1_000_003)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches_by_bytes(batches, "t", 16 << 20):
+        for batch in batches_by_bytes(batches, "t", 2 << 20):
             frame = pd.DataFrame({"l": batch.column("l").to_pylist(), "t": texts_of(batch.column("t"))})
             for name, own in frame.groupby("l"):
                 keys, n = np.unique(np.concatenate([ngrams(t) for t in own.t]), return_counts=True)
