@@ -11,8 +11,9 @@ Signatures are cut into BANDS of ROWS entries; texts that share a band are candi
 is (1 - 0.8^5)^30 < 7e-6. In each shared band, one leader is compared with the rest, never all pairs: exact similarity of the
 shingle sets (32-bit hashes) decides, after their sizes. The leader is the most central member, whose bands are the largest together: of a text and its
 copies, which may each differ elsewhere, that is the text. Then components are built, and while a band still holds more than one component, the next
-round tries members of further components there (LEADERS at a time, more in a small band, central ones first, later any) against the members of other components. It ends when
-all bands hold one component, every pair with a leader has been compared, or a round after the first found no link.
+round tries members of further components there (LEADERS at a time, more in a small band, central ones first, later any) against the members of other components. These rounds end when
+all bands hold one component, every pair with a leader has been compared, or a round after the first found no link. Then the pairs of still different
+components are completed: all of a band of at most SMALL members; of larger bands all that can reach the threshold, found by their rarest shingles.
 
 Identical texts are one class whatever they hold (null counts as empty); they are collapsed before anything else. Texts without words link to
 identical texts only. Nothing is capped.
@@ -210,6 +211,33 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
+def likely_pairs(nodes: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
+    """(a, b) of different labels, of nodes (node, label), at least all whose sets reach the threshold.
+
+    With shingles in one order, rarest first, two sets x and y (x the smaller) that reach it share a shingle among the first |x| - ceil(2t|x|/(1+t)) + 1 of x
+    and |y| - ceil(t|y|) + 1 of y; what stands before the first one they share bounds what they have in common. Shingles that a crowd shares
+    come last, so its members do not meet by them. Sizes fall into ranges by powers of 1/t; y is also dealt to the range below its own.
+    """
+    own = nodes.join(sets, "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
+    often = own.groupBy("shingle").agg(F.count("*").alias("df"))
+    ranked = sized(own.join(often, "shingle"), rows).groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
+    ceil = lambda share: F.ceil(share * F.col("n") - 1e-9)
+    kept = ranked.select("node", "label", "n", (F.col("n") - ceil(2 * threshold / (1 + threshold)) + 1).alias("small"), F.posexplode(F.slice("s", F.lit(1), (F.col("n") - ceil(threshold) + 1).cast("int"))).alias("i", "s"))
+    kept = written(kept.where("s.df > 1").withColumn("range", F.floor(F.log("n") / -float(np.log(threshold)) + 1e-9)), "minhash-prefixes")
+    side = lambda df, name: df.groupBy("shingle", "range", "label").agg(F.collect_list(F.struct("node", "n", "i")).alias(name)).withColumnRenamed("label", f"{name}_label")
+    xs = side(kept.where("i < small").select("s.shingle", "range", "label", "node", "n", "i"), "x")
+    ys = side(kept.select("s.shingle", F.explode(F.array("range", F.col("range") - 1)).alias("range"), "label", "node", "n", "i"), "y")
+    met = xs.join(ys, ["shingle", "range"]).where("x_label <> y_label").select(F.explode("x").alias("x"), "y")
+
+    def may(y: Column) -> Column:
+        x = F.col("x")
+        after = (F.struct(x["n"], x["node"]) < F.struct(y["n"], y["node"])) & (x["n"] >= threshold * y["n"] - 1e-9)
+        return after & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
+
+    found = met.select(F.col("x.node").alias("one"), F.explode(F.filter("y", may)).alias("other"))
+    return found.select(F.least("one", "other.node").alias("a"), F.greatest("one", "other.node").alias("b")).distinct()
+
+
 def text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
@@ -235,9 +263,30 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     texts = base.join(candidates.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
     sets = written(texts.select("node", sets_of(F.col("text"), size, weights).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
 
+    def linked_of(pairs: DataFrame, n: int) -> DataFrame:
+        second = sized(pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), n * SET_ROWS)
+        both = sized(second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"), n * SET_ROWS)
+        common = F.size(F.array_intersect("set_a", "set_b"))
+        return written(both.where(common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "minhash-links")
+
+    def joined(labels: DataFrame | None, near: DataFrame, n: int) -> DataFrame:
+        if labels is None:
+            return components(near, "minhash")
+        # Later links join components found so far: their labels are the nodes of a smaller graph.
+        known = labels.select("node", "label")
+        ends = near.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+        ends = sized(ends, n).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        merged = components(ends, "minhash")
+        moved = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+        fresh = merged.join(known, "node", "left_anti").select("node", "label")
+        return written(sized(moved.unionByName(fresh), rows_), "minhash-labels")
+
+    def labelled(labels: DataFrame | None) -> DataFrame:
+        return members.withColumn("label", F.col("node")) if labels is None else sized(members.join(labels, "node", "left"), rows_).withColumn("label", F.coalesce("label", "node"))
+
     labels, tested = None, None
     for turn in count():
-        own = members.withColumn("label", F.col("node")) if labels is None else sized(members.join(labels, "node", "left"), rows_).withColumn("label", F.coalesce("label", "node"))
+        own = labelled(labels)
         # Of each component in a band one member may lead; the components are dealt by hash into as many classes as there are leaders.
         key = -F.col("central") if turn < 2 else F.xxhash64("node", F.lit(turn))
         heads = own.groupBy("band", "label").agg(F.min(F.struct(key.alias("key"), "node", "size")).alias("head"), F.count("*").alias("held"))
@@ -251,26 +300,31 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
         n = pairs.count()
         if not n:
             break
-        second = sized(pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), n * SET_ROWS)
-        both = sized(second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"), n * SET_ROWS)
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        near = written(both.where(common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "minhash-links")
+        near = linked_of(pairs, n)
         tested = pairs if tested is None else tested.union(pairs)
         if near.isEmpty():
             if turn:
                 break
             continue
-        if labels is None:
-            labels = components(near, "minhash")
-            continue
-        # Later links join components found so far: their labels are the nodes of a smaller graph.
-        known = labels.select("node", "label")
-        ends = near.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        ends = sized(ends, n).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = components(ends, "minhash")
-        moved = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        fresh = merged.join(known, "node", "left_anti").select("node", "label")
-        labels = written(sized(moved.unionByName(fresh), rows_), "minhash-labels")
+        labels = joined(labels, near, n)
+    # What no leader met: the rest of the pairs of different components.
+    own = labelled(labels)
+    open_ = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("band", "held")
+    left = written(sized(own.join(open_, "band"), rows_).select("band", "held", "node", "size", "label"), "minhash-open")
+    few = left.where(F.col("held") <= SMALL)
+    other = few.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "label")))
+    alike = (F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & (F.least("size", "other_size") >= threshold * F.greatest("size", "other_size"))
+    pairs = few.join(other, "band").where(alike).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
+    crowd = written(left.where(F.col("held") > SMALL).select("node", "label").distinct(), "minhash-crowd")
+    if not crowd.isEmpty():
+        pairs = pairs.unionByName(likely_pairs(crowd, sets, threshold, rows_))
+    pairs = pairs.distinct()
+    pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
+    n = pairs.count()
+    if n:
+        near = linked_of(pairs, n)
+        if not near.isEmpty():
+            labels = joined(labels, near, n)
     if labels is None:
         out = reps.withColumn("class_id", F.col("least_id")).withColumn("keeper", F.lit(True))
         return out.drop("bands", "least_id")

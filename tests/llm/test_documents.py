@@ -72,6 +72,23 @@ def test_classes_are_those_of_all_pairs(spark, corpus):
     assert kept.count() == len(set(c for _, c in found)) + 1  # id 21 has two texts, each a class of its own
 
 
+def test_links_within_a_crowd(spark):
+    """Texts of one template, alike by about 0.78, of which few pairs reach 0.8: neither of a pair leads a band."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    template = " ".join(word() for _ in range(204))
+    rows = []
+    for i in range(300):
+        both = [word() for _ in range(4)]
+        for j in range(2 if i < 20 else 1):
+            rows.append((len(rows), " ".join([template, *both, *(word() for _ in range(24))])))
+    rng.shuffle(rows)
+    due = brute_classes(rows)
+    assert sum(i != c for i, c in due) == 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(((r.doc_id, r.class_id) for r in minhash.near_duplicates(df).collect()), key=str) == due
+
+
 def test_one_row_of_repeats_stays(spark):
     df = spark.createDataFrame([(1, "same text", "a"), (1, "same text", "b"), (2, "same text", "c"), (None, None, None), (None, None, None)], "doc_id long, text string, source string")
     assert sorted(((r.doc_id, r.text) for r in minhash.deduplicated(df).collect()), key=str) == [(1, "same text"), (None, None)]
