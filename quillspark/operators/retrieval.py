@@ -81,8 +81,8 @@ def embedded(items: DataFrame, text: str = "text", out: str = "vector", dim: int
     return items.withColumn(out, counted(buckets))
 
 
-def dense(items: DataFrame, queries: DataFrame, key: str, vector: str = "vector", k: int = EACH, skip_self: bool = False) -> DataFrame:
-    """[J7] Exact search by inner product of unit vectors. queries: (query_id, query_vector), a stated set: up to BROADCAST_QUERIES rows (counted) go to
+def scores(items: DataFrame, queries: DataFrame, key: str, vector: str = "vector") -> DataFrame:
+    """(query_id, key, score): every query against every item. queries: (query_id, query_vector), a stated set: up to BROADCAST_QUERIES rows (counted) go to
     every task; a larger set is dealt into blocks that each meet all items."""
     n = queries.count()
     if n <= BROADCAST_QUERIES:
@@ -91,9 +91,14 @@ def dense(items: DataFrame, queries: DataFrame, key: str, vector: str = "vector"
         blocks = -(-n // BROADCAST_QUERIES)
         asked = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
         pairs = items.select(key, vector, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block")).join(asked, "_block").drop("_block")
+    return pairs.select("query_id", key, F.round(t.dot(F.col(vector), F.col("query_vector")), 6).alias("score"))
+
+
+def dense(items: DataFrame, queries: DataFrame, key: str, vector: str = "vector", k: int = EACH, skip_self: bool = False) -> DataFrame:
+    """[J7] Exact search by inner product of unit vectors, for the queries of scores()."""
+    scored = scores(items, queries, key, vector)
     if skip_self:
-        pairs = pairs.where(F.col(key) != F.col("query_id"))
-    scored = pairs.select("query_id", key, F.round(t.dot(F.col(vector), F.col("query_vector")), 6).alias("score"))
+        scored = scored.where(F.col(key) != F.col("query_id"))
     return top(scored, k, [F.desc("score"), F.col(key)])
 
 

@@ -218,17 +218,16 @@ def vectors(spark, sf_dir):
 
 @query
 def similar_pairs(spark, sf_dir):
-    """Neighbours within a label, as pairs of different notes (a note has four vectors)."""
+    """Neighbours among all rows, as pairs of different notes (a note has four vectors)."""
     items = vectors(spark, sf_dir).withColumn("note", F.expr("vec_id DIV 4"))
-    found = pairs.neighbours(items, "vec_id", "embedding", block="label")
+    found = pairs.neighbours(items, "vec_id", "embedding")
     return pairs.candidate_pairs(found, items, "vec_id", "note", "embedding")
 
 
 @query
 def near_duplicate_pairs(spark, sf_dir):
-    """Neighbours within a label that are too alike to conflict, at a cosine that this table reaches."""
-    found = pairs.neighbours(vectors(spark, sf_dir), "vec_id", "embedding", block="label")
-    return found.where(F.col("score") > 0.4).select(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b"), "score").distinct()
+    """All pairs that are too alike to conflict, at a cosine that this table reaches."""
+    return pairs.alike(vectors(spark, sf_dir), "vec_id", "embedding", 0.4)
 
 
 @query
