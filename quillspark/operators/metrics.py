@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -104,10 +108,54 @@ def overlap_ratio(a: Column, b: Column) -> Column:
 
 def substring_score(a: Column, b: Column) -> Column:
     """[V20] A score from 1 to 5 by shared content words."""
-    r = overlap_ratio(a, b)
+    return ratio_score(overlap_ratio(a, b))
+
+
+def ratio_score(r: Column) -> Column:
     return F.when(r >= 0.8, 5).when(r >= 0.5, 4).when(r >= 0.25, 3).when(r >= 0.1, 2).otherwise(1)
 
 
+def best_ratio(asked: Column, size: Column, words: Column) -> Column:
+    """[A23] The largest overlap_ratio of a set of content words (asked) with any run of `size` words of a text, or with all if it has fewer.
+    words: the text's words in order, null for those that are not content words."""
+
+    @F.arrow_udf("double")
+    def best(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for batch in batches:
+            out = []
+            for want, width, line in zip(*(x.to_pylist() for x in batch), strict=True):
+                want, held, shared, top = set(want), Counter(), 0, 0.0
+                for i, word in enumerate(line):
+                    if word is not None:
+                        held[word] += 1
+                        shared += held[word] == 1 and word in want
+                    gone = line[i - width] if i >= width else None
+                    if gone is not None:
+                        held[gone] -= 1
+                        if not held[gone]:
+                            del held[gone]
+                            shared -= gone in want
+                    if shared and (i >= width - 1 or i == len(line) - 1):
+                        top = max(top, shared / max(len(want), len(held)))
+                out.append(top)
+            yield pa.array(out, pa.float64())
+
+    return best(asked, size, words)
+
+
+def passage_scores(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
+    """[V20, A23] (item, doc, score): the score of an item's text with the run of as many words of a document that is most like it, for those that reach 3.
+
+    A run that reaches 3 holds a quarter of the item's content words, so the document does: that is counted by a join, the rest is aligned.
+    """
+    asked = items.select(item, t.content_words(F.col(text)).alias("asked"), F.size(t.plain_words(F.col(text))).alias("size"))
+    words = docs.select(doc, F.explode(t.content_words(F.col(text))).alias("word"))
+    met = words.join(asked.select(item, F.size("asked").alias("n"), F.explode("asked").alias("word")), "word").groupBy(item, doc, "n").agg(F.count("*").alias("both"))
+    rows = met.where("both >= 0.25 * n").select(item, doc).join(asked, item).join(docs.select(doc, F.col(text).alias("_text")), doc)
+    line = F.transform(t.plain_words(F.col("_text")), lambda w: F.when(t.is_content_word(w), w))
+    return rows.select(item, doc, ratio_score(best_ratio(F.col("asked"), F.col("size"), line)).alias("score")).where("score >= 3")
+
+
 def hits_at_k(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
     """[A15] (query_id, difficulty, hit, recall) from ranked (query_id, title, rank) and expected (query_id, difficulty, titles)."""
     few = ranked.where(F.col("rank") <= k).groupBy("query_id").agg(F.collect_set("title").alias("found"))

@@ -385,12 +385,8 @@ def answer_strength(spark, sf_dir):
 
 @query
 def substring_match(spark, sf_dir):
-    """Each passage against the start of each document that shares a word with it."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", "text", F.explode(t.content_words(F.col("text"))).alias("word"))
-    heads = documents(spark, sf_dir).select("doc_id", t.snippet(F.col("text"), 200).alias("head"))
-    rows = items.join(heads.select("doc_id", "head", F.explode(t.content_words(F.col("head"))).alias("word")), "word")
-    met = rows.groupBy("item_id", "doc_id").agg(F.first("text").alias("text"), F.first("head").alias("head"))
-    return met.select("item_id", "doc_id", metrics.substring_score(F.col("text"), F.col("head")).alias("score")).where("score >= 3")
+    """Each passage against every run of as many words of every document."""
+    return metrics.passage_scores(table(spark, sf_dir, "benchmark"), documents(spark, sf_dir), "item_id", "doc_id")
 
 
 def judged_labels(spark, sf_dir):

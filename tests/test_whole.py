@@ -18,3 +18,13 @@ def test_pairs_across_labels_without_a_cap(spark, tmp_path):
     near = {tuple(sorted((i, j))) for i in range(60) for j in np.lexsort((np.arange(60), -s[i]))[:10].tolist() if i != j}
     due = {(a, b) for a, b in near if a // 4 != b // 4 and x[a] @ x[b] <= 0.95}
     assert {(r.a, r.b) for r in catalog.queries()["similar_pairs"](spark, str(tmp_path)).collect()} == due
+
+
+def test_passages_are_found_anywhere(spark, tmp_path):
+    passage, longer = "Glaciers carve valleys through ancient granite mountains", "river deltas spread. Slowly, sediment settles! Then tides return: lagoons form"
+    filler = " ".join(f"filler{i} sentence number{i}." for i in range(200))
+    spark.createDataFrame([(1, passage), (2, longer)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1, f"{filler} {passage}. {filler}"), (2, filler), (3, f"{filler}\n\nGlaciers carve valleys.\n\n{filler}"), (4, passage), (5, None), (6, f"{filler} where {longer} again {filler}")]
+    docs.append((7, " ".join(f"{w} {filler}" for w in passage.split())))  # all its words, far from each other
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {tuple(r) for r in catalog.queries()["substring_match"](spark, str(tmp_path)).select("item_id", "doc_id", "score").collect()} == {(1, 1, 5), (1, 3, 3), (1, 4, 5), (2, 6, 5)}
