@@ -356,8 +356,8 @@ def draft_mock(spark, sf_dir):
 
 
 def drafts(spark, sf_dir):
-    """Drafts of all conversations: a line for each turn, every other one with a footnote, of which some are not defined and some not retrieved."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring(t.snippet(F.col("text"), 60), 1, 60).alias("line"))
+    """Drafts of all conversations: the whole text of each turn with its line breaks (a line that would start a section is indented), every other one with a footnote, of which some are not defined and some not retrieved."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_replace(t.strip(F.col("text")), r"(?m)^(##\s)", " $1").alias("line"))
     note = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("[^"), F.col("turn").cast("string"), F.lit("]"))).otherwise(F.lit(""))
     rows = rows.select("conv_id", "turn", F.concat("line", note).alias("line"), F.when(F.col("turn") % 4 == 0, F.concat(F.lit("[^"), F.col("turn").cast("string"), F.lit("]: `c"), F.col("turn").cast("string"), F.lit("` — \"q\""))).alias("cited"))
     both = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "line", "cited"))).alias("all"))

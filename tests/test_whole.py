@@ -28,3 +28,13 @@ def test_passages_are_found_anywhere(spark, tmp_path):
     docs.append((7, " ".join(f"{w} {filler}" for w in passage.split())))  # all its words, far from each other
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {tuple(r) for r in catalog.queries()["substring_match"](spark, str(tmp_path)).select("item_id", "doc_id", "score").collect()} == {(1, 1, 5), (1, 3, 3), (1, 4, 5), (2, 6, 5)}
+
+
+def test_drafts_hold_whole_turns(spark, tmp_path):
+    long = "word " * 40
+    turns = [(1, 0, f"{long}end\nsecond line [^3]\n## third\nlast"), (1, 1, f"{long}\n\n{long}"), (2, 1, long + "[^7] more")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {r.conv_id: r for r in catalog.queries()["attribution"](spark, str(tmp_path)).collect()}
+    assert (found[1].total_sentences, found[1].cited_sentences, found[1].orphan_footnotes) == (6, 2, "3")
+    assert (found[2].total_sentences, found[2].cited_sentences, found[2].orphan_footnotes) == (1, 1, "7")
+    assert catalog.queries()["answer_strength"](spark, str(tmp_path)).collect()[0].drafts == 2
