@@ -7,8 +7,13 @@ within BAND of each other and that are no further apart than the template is lon
 words inside a band around the hits' diagonals: a match counts 1, a differing or missing or extra word -0.5. Of the template's words that
 match in the best alignment the share is the coverage; the span runs from the first matched word to the last, in characters of the text.
 
-Findings under MIN_COVERAGE are left out, and of findings that overlap only the one with most coverage stays (then most words, then the smaller name). Null, empty and
-wordless texts have no findings; repeats within a text are findings each; texts of any length are read whole. Templates are a parameter: name -> text.
+A region of fewer hits than one for every SPARSE words of its template is not aligned: a text that has MIN_COVERAGE of a template has more, unless hardly four words
+in a row agree.
+
+Findings under MIN_COVERAGE are left out, and of findings that overlap only the best stays: of templates of LONG words or more (texts and headers, in which
+headers and notices are) the one with most words, then most coverage; else the one with most coverage, then most words; then the smaller name. Null, empty and
+wordless texts have no findings; repeats within a text are findings each; texts of any length are read whole. Templates are a parameter: name -> text; by
+default the texts and headers in license_texts and the short notices here.
 """
 
 from __future__ import annotations
@@ -16,6 +21,7 @@ from __future__ import annotations
 from bisect import bisect
 from collections.abc import Iterator, Mapping
 from itertools import takewhile
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +32,8 @@ from .common import pieces, prepare, q, texts_of, without
 from .minhash import shingle_hashes, word_characters
 
 GRAM, WINDOW, BAND, MIN_COVERAGE = 3, 2, 6, 0.8
-#: Short notices as authors put them into texts. A caller with full license texts passes those.
+LONG, SPARSE = 60, 50
+#: Short notices as authors put them into texts.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0 header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License",
@@ -45,6 +52,12 @@ KIND = pa.list_(pa.struct([("license", pa.string()), ("coverage", pa.float64()),
 SQL_KIND = "array<struct<license:string,coverage:double,matched_words:int,start_char:int,end_char:int>>"
 
 
+def full_templates() -> dict[str, str]:
+    """Full license texts ("MIT text"), standard headers and short notices. Read on the driver; executors get them with the task."""
+    found = {p.stem: p.read_text() for p in (Path(__file__).parent / "license_texts").glob("*.txt")}
+    return TEMPLATES | {name if name.endswith(" header") else f"{name} text": text for name, text in found.items()}
+
+
 def winnow(hashes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """Places of the fingerprints of one text."""
     if len(hashes) <= window:
@@ -124,33 +137,37 @@ class Library:
         own = []
         for name in sorted({h[0] for h in hits}):
             template, mine = self.words[name], sorted((p, p - j) for n, p, j in hits if n == name)
-            regions: list[list[int]] = []  # lowest and highest diagonal, last place
+            regions: list[list[int]] = []  # lowest and highest diagonal, last place, hits
             for p, d in mine:
                 near = next((r for r in takewhile(lambda r: p - r[2] <= 2 * len(template) + BAND, reversed(regions)) if p - r[2] <= len(template) and r[0] - BAND <= d <= r[1] + BAND), None)
                 if near:
-                    near[:] = min(near[0], d), max(near[1], d), p
+                    near[:] = min(near[0], d), max(near[1], d), p, near[3] + 1
                 else:
-                    regions.append([d, d, p])
-            for low, high, _ in regions:
+                    regions.append([d, d, p, 1])
+            for low, high, _, n_hits in regions:
+                if n_hits < len(template) // SPARSE:
+                    continue
                 matched, first, last = align(template, words, low - BAND, high + BAND)
                 if first >= 0 and matched / len(template) >= min_coverage:
-                    own.append((-matched / len(template), -matched, name, first, last))
+                    coverage = matched / len(template)
+                    order = (0, -matched, -coverage) if len(template) >= LONG else (1, -coverage, -matched)
+                    own.append((order, name, first, last, coverage, matched))
         starts: list[int] = []  # of the spans taken so far, which do not overlap, in order
         ends: list[int] = []
         out = []
-        for coverage, matched, name, first, last in sorted(set(own)):
+        for _, name, first, last, coverage, matched in sorted(set(own)):
             at = bisect(starts, first)
             if not (at and ends[at - 1] >= first or at < len(starts) and starts[at] <= last):
                 starts.insert(at, first)
                 ends.insert(at, last)
-                out.append({"license": self.names[name], "coverage": -coverage, "matched_words": -matched, "start_char": int(first_char[first]), "end_char": int(past_char[last])})
+                out.append({"license": self.names[name], "coverage": coverage, "matched_words": matched, "start_char": int(first_char[first]), "end_char": int(past_char[last])})
         return sorted(out, key=lambda f: (f["start_char"], f["license"]))
 
 
-def scan(df: DataFrame, text: str = "text", templates: Mapping[str, str] = TEMPLATES, min_coverage: float = MIN_COVERAGE, out: str = "licenses") -> DataFrame:
+def scan(df: DataFrame, text: str = "text", templates: Mapping[str, str] | None = None, min_coverage: float = MIN_COVERAGE, out: str = "licenses") -> DataFrame:
     """df with an array of findings, by place: license, coverage, matched_words, start_char, end_char (past the last). A column of that name is replaced. No shuffle."""
     prepare(df.sparkSession)
-    templates = dict(templates)
+    templates = full_templates() if templates is None else dict(templates)
     library: list[Library] = []
 
     @F.arrow_udf(SQL_KIND)

@@ -244,6 +244,26 @@ def test_language_by_rank_order(spark):
 # Licenses
 
 
+def test_whole_license_texts(spark):
+    """Texts and headers with another holder, other line breaks and a few words changed are found as such, with their spans; English that is none is not."""
+    rng = random.Random(2)
+    full = licenses.full_templates()
+    names = ["MIT text", "ISC text", "Unlicense text", "BSL-1.0 text", "BSD-2-Clause text", "BSD-3-Clause text", "GPL-2.0 text", "MPL-2.0 text", "AGPL-3.0-or-later header", "Apache-2.0 header"]
+    rows = []
+    for name in names:
+        words = full[name].split()
+        for _ in range(len(words) // 60):
+            words[rng.randrange(5, len(words) - 5)] = "acme"
+        rows.append((len(rows), f"Copyright 2020 {text_of(rng, 30)}. " + " ".join(words) + f" {text_of(rng, 50)}"))
+    rows.append((len(rows), "You may use, copy and modify the work under the terms of this agreement, without any warranty"))
+    found = {r.doc_id: r.licenses for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert found.pop(len(names)) == []
+    for i, name in enumerate(names):
+        (x,) = found[i]
+        assert x.license == name and x.coverage > 0.95
+        assert x.end_char - x.start_char > 0.98 * len(" ".join(full[name].split()))
+
+
 def test_license_findings(spark):
     filler = text_of(random.Random(6), 60)
     line = "This work is licensed under the GNU General Public License, version 3"
