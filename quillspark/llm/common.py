@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,6 +83,13 @@ def texts_of(column: pa.Array) -> list[str]:
         return [(x or b"").decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
 
 
+def binary_array(data: np.ndarray, at: np.ndarray) -> pa.Array:
+    """A binary column over bytes; the values begin at `at` (and the end), under 2 GB in all."""
+    if at[-1] >= 2**31:
+        raise ValueError("a batch of over 2 GB")
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
+
+
 def give_back() -> None:
     """Return freed memory to the system, where the C library can: a worker serves one operator after another, and would keep the most that any of them took."""
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)

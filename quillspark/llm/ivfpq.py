@@ -2,16 +2,16 @@
 
 The index is fitted on a bounded sample (TRAIN vectors with the smallest hash of their id): k-means centroids, then for each of PARTS slices of a
 vector a codebook of 256 for what the centroid leaves. Every row is indexed: its list and a byte per slice. A query probes the lists
-whose centroids have the largest inner product with it; tables of its inner products with all codes give each row's approximate score
-(asymmetric distance); the best RERANK rows of each block are scored exactly in double precision, ties to the smaller id.
+whose centroids have the largest inner product with it, and more of them until they hold as many rows as it asks for; tables of its inner products with all codes give each row's approximate score
+(asymmetric distance); the best RERANK rows of each block, with all ties, are scored exactly in double precision, ties to the smaller id.
 How many lists to probe is measured on the sample: the fewest that hold TARGET of the true neighbours of PROBE_QUERIES of its members, by brute force.
 
 Lists are packed into blocks of at most BLOCK rows (a list that holds more, like that of one very common vector, is split), queries into blocks of QUERY_BLOCK;
 a task has one block of each. So no task grows with a list, and memory is bounded by a block.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, as query or candidate; nor do those of another length than
-most. Repeated ids are rows of their own as candidates, but a query is every distinct (id, vector); rows with the query's id are left out.
-An empty table gives no rows.
+most. Repeated ids are rows of their own as candidates, but a query is every distinct (id, vector), ranked on its own; rows with the query's id are left out.
+An empty table gives no rows. Only key and vector are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -83,16 +83,19 @@ class Index:
         rest = x - self.centres[own]
         return own, np.stack([nearest(rest[:, s], b) for s, b in zip(self.slices, self.books, strict=True)], 1).astype(np.uint8)
 
-    def probe(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-(x @ self.centres.T), axis=1, kind="stable")[:, : self.probes]
+    def probe(self, x: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[np.ndarray]:
+        """The lists for each query, nearest first: as many as are probed, and more until they hold as many rows as it needs."""
+        order = np.argsort(-(x @ self.centres.T), axis=1, kind="stable")
+        enough = (held[order].cumsum(1) < need[:, None]).sum(1) + 1
+        return [lists[: max(self.probes, n)] for lists, n in zip(order, enough, strict=True)]
 
-    def search(self, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, ids: np.ndarray, lists: np.ndarray, codes: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, probed: list[np.ndarray], k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query's place, id, exact score) of the best k rows of a block for each query."""
         order = np.argsort(lists, kind="stable")
         ids, lists, codes, vectors = ids[order], lists[order], codes[order].astype(np.int64), vectors[order]
         flat = codes + np.arange(codes.shape[1]) * CODES
         start, past = (np.searchsorted(lists, np.arange(len(self.centres)), side) for side in ("left", "right"))
-        near, probed = queries @ self.centres.T, self.probe(queries)
+        near = queries @ self.centres.T
         out = []
         for i, x in enumerate(queries):
             lists_here = probed[i][past[probed[i]] > start[probed[i]]]
@@ -104,7 +107,8 @@ class Index:
                 table[m, : len(b)] = b @ x[s]
             rows = rows[ids[rows] != query_ids[i]]
             rough = near[i, lists[rows]] + table.ravel()[flat[rows]].sum(1)
-            rows = rows[top(rough, ids[rows], rerank)]
+            if len(rows) > rerank:  # with all ties, as rows of one code may differ
+                rows = rows[rough >= np.partition(rough, -rerank)[-rerank]]
             exact = vectors[rows] @ x
             best = top(exact, ids[rows], k)
             out.append((np.full(len(best), i), ids[rows[best]], exact[best]))
@@ -149,17 +153,23 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
             own, codes = index.encode(matrix(batch, dim)) if len(batch) else (np.zeros(0, int), np.zeros((0, 1), np.uint8))
             yield pa.StructArray.from_arrays([pa.array(own, pa.int32()), pa.array([c.tobytes() for c in codes], pa.binary())], ["list", "code"])
 
+    base = written(good.withColumn("x", indexed(F.col("v"))).select("id", "v", "x.list", "x.code"), "ivfpq-index")
+    in_list = sorted(tuple(r) for r in base.groupBy("list").count().collect())
+    held = np.zeros(len(index.centres), np.int64)
+    held[[name for name, _ in in_list]] = [n for _, n in in_list]
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def probed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            yield pa.array(list(index.probe(matrix(batch, dim)).astype(np.int32)) if len(batch) else [], pa.list_(pa.int32()))
+    def probed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for vectors, own in batches:
+            yield pa.array([x.astype(np.int32) for x in index.probe(matrix(vectors, dim), held, k + own.to_numpy())] if len(own) else [], pa.list_(pa.int32()))
 
-    base = written(good.withColumn("x", indexed(F.col("v"))).select("id", "v", "x.list", "x.code"), "ivfpq-index")
-    asked = written(good.where(is_query).distinct().withColumn("lists", probed(F.col("v"))), "ivfpq-queries")
+    # Rows with the query's own id are no candidates, however many they are.
+    asked = good.where(is_query).withColumn("own", F.count("*").over(Window.partitionBy("id"))).distinct()
+    asked = written(asked.withColumn("lists", probed(F.col("v"), F.col("own"))).drop("own").withColumn("q", F.xxhash64("v")), "ivfpq-queries")
 
     # Blocks: lists one after another up to `block` rows; a larger list has blocks of its own. A row for each list, MAX_LISTS at most.
     first, parts, at, filled = {}, {}, 0, 0
-    for name, n in sorted(base.groupBy("list").count().collect()):
+    for name, n in in_list:
         if filled and filled + n > block:
             at, filled = at + 1, 0
         first[name], parts[name] = at, -(-n // block)
@@ -169,22 +179,22 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
             filled += n
     plan = df.sparkSession.createDataFrame([(k_, first[k_], parts[k_]) for k_ in first], "list int, first long, parts long")
     placed = base.join(F.broadcast(plan), "list").withColumn("block", F.expr("first + pmod(xxhash64(id), parts)")).drop("first", "parts")
-    wanted = asked.select("id", "v", F.explode("lists").alias("list")).join(F.broadcast(plan), "list")
-    wanted = wanted.select("id", "v", F.explode(F.expr("sequence(first, first + parts - 1)")).alias("block")).groupBy("id", "v", "block").agg(F.lit(1).alias("one")).drop("one")
+    wanted = asked.select("id", "q", "v", F.explode("lists").alias("list")).join(F.broadcast(plan), "list")
+    wanted = wanted.select("id", "q", "v", "list", F.explode(F.expr("sequence(first, first + parts - 1)")).alias("block")).groupBy("id", "q", "block").agg(F.first("v").alias("v"), F.collect_set("list").alias("lists"))
     load = wanted.groupBy("block").agg(F.ceil(F.count("*") / query_block).alias("turns"))
     load = load.join(placed.groupBy("block").agg(F.lit(1).alias("one")), "block").drop("one")
     wanted = wanted.join(load, "block").withColumn("turn", F.expr("pmod(xxhash64(id), turns)")).drop("turns")
     placed = placed.join(load, "block").withColumn("turn", F.explode(F.expr("sequence(0L, turns - 1)"))).drop("turns")
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = {"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
+        empty = {"query_id": pa.array([], pa.int64()), "q": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())}
         if not left.num_rows or not right.num_rows:
             return pa.table(empty)
         ids, query_ids = left["id"].to_numpy(), right["id"].to_numpy()
         codes = np.frombuffer(b"".join(left["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        at_, found, score = index.search(ids, left["list"].to_numpy(), codes, matrix(left["v"], dim), query_ids, matrix(right["v"], dim), k, rerank)
-        return pa.table({"query_id": pa.array(query_ids[at_], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
+        at_, found, score = index.search(ids, left["list"].to_numpy(), codes, matrix(left["v"], dim), query_ids, matrix(right["v"], dim), [np.array(x, np.int64) for x in right["lists"].to_pylist()], k, rerank)
+        return pa.table({"query_id": pa.array(query_ids[at_], pa.int64()), "q": pa.array(right["q"].to_numpy()[at_], pa.int64()), "vec_id": pa.array(found, pa.int64()), "score": pa.array(score, pa.float64())})
 
-    found = placed.groupBy("block", "turn").cogroup(wanted.groupBy("block", "turn")).applyInArrow(best, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = placed.groupBy("block", "turn").cogroup(wanted.groupBy("block", "turn")).applyInArrow(best, "query_id long, q long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

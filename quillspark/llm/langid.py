@@ -6,7 +6,7 @@ far each is out of place in the language's profile; an n-gram that the profile l
 to the smaller name. The score is 1 less the distance as a share of the largest possible one.
 
 Null texts and texts without a letter give `und` with score 0; so does every text if nothing was learned. Very long texts are
-counted whole. Repeated rows count as often as they occur.
+counted whole. Repeated rows count as often as they occur. Input columns that are called like an output are replaced, whatever their case.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ UNKNOWN = "und"
 TOP = 300
 #: Learning reads at most about so many texts of each language, chosen by a hash of the row.
 TRAIN_ROWS = 3000
-#: Profiles are broadcast; with TOP rows for each language this bounds them.
+#: Profiles go along with a function, so many at a time (10 MB at most); of more languages there are more functions, one after another.
 MAX_LANGUAGES = 2000
 BITS = 21
 
@@ -73,42 +73,54 @@ def ranked(text: str, top: int = TOP) -> np.ndarray:
 
 
 class Profiles:
-    """Ranks of n-grams in each language."""
+    """Ranks of n-grams in each language: for each n-gram the languages that have it, one after another."""
 
     def __init__(self, rows: dict[str, list[int]], top: int = TOP):
-        self.languages, self.top = sorted(rows), top
-        self.keys = np.unique(np.array([k for v in rows.values() for k in v], np.int64))
-        self.ranks = np.full((len(self.keys) + 1, len(rows)), -1, np.int32)  # the last row: in no profile
-        for j, name in enumerate(self.languages):
-            self.ranks[np.searchsorted(self.keys, rows[name]), j] = np.arange(len(rows[name]))
+        self.rows, self.languages, self.top = rows, sorted(rows), top
+        grams = [np.asarray(rows[name], np.int64) for name in self.languages]
+        key = np.concatenate([np.zeros(0, np.int64), *grams])
+        order = np.argsort(key, kind="stable")
+        self.keys, first = np.unique(key[order], return_index=True)
+        self.first = np.append(first, len(key))
+        self.language = np.repeat(np.arange(len(grams)), [len(g) for g in grams])[order]
+        self.rank = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(g)) for g in grams)])[order]
+
+    def parts(self, languages: int) -> list["Profiles"]:
+        """Profiles of so many languages at most each, in order of their names."""
+        if len(self.languages) <= languages:
+            return [self]
+        names = [self.languages[i : i + languages] for i in range(0, len(self.languages), languages)]
+        return [Profiles({n: self.rows[n] for n in some}, self.top) for some in names]
 
     def predict(self, text: str) -> tuple[str, float]:
         keys = ranked(text, self.top)
         if not len(keys) or not self.languages:
             return UNKNOWN, 0.0
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        ranks = self.ranks[np.where(self.keys[at] == keys, at, len(self.keys))]
-        out = np.where(ranks < 0, self.top, np.abs(ranks - np.arange(len(keys))[:, None])).sum(0)
+        known = np.flatnonzero(self.keys[at] == keys)
+        size = self.first[at[known] + 1] - self.first[at[known]]
+        ends = np.cumsum(size)
+        entry = np.repeat(self.first[at[known]] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)
+        nearer = self.top - np.abs(self.rank[entry] - np.repeat(known, size))  # than an n-gram that the profile lacks
+        out = self.top * len(keys) - np.bincount(self.language[entry], nearer, len(self.languages))
         best = int(out.argmin())
         return self.languages[best], 1.0 - float(out[best]) / (self.top * len(keys))
 
 
-def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, train_rows: int = TRAIN_ROWS, top: int = TOP) -> Profiles:
+def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column | None = None, key: str | None = None, train_rows: int = TRAIN_ROWS, top: int = TOP) -> Profiles:
     """Profiles from rows with text and language, `where` holds.
 
-    Reads about train_rows texts of each language at most (chosen by a hash of the text, so copies count as one choice; all rows
-    if there are fewer): a documented bound on labelled rows. Counts are summed on the executors; the driver gets `top` n-grams of
-    each language.
+    Reads about train_rows rows of each language at most, chosen by a hash of key and text (of the text alone without a key); all rows if there are fewer, and
+    always those with the language's smallest hash, so no language is lost: a documented bound on labelled rows. Counts are summed on the executors; the driver gets
+    a row for each language and `top` n-grams of it.
     """
     prepare(docs.sparkSession)
     known = docs.where(q(text).isNotNull() & q(lang).isNotNull() & (F.lit(True) if where is None else where))
-    counts = {r[0]: r[1] for r in known.groupBy(q(lang)).count().limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return Profiles({}, top)
-    share = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, train_rows / n)))
-    picked = known.where(F.pmod(F.xxhash64(q(text), F.lit("langid")), F.lit(1_000_003)) < share[q(lang)] * 1_000_003)
+    turn = F.pmod(F.xxhash64(*([] if key is None else [q(key)]), q(text), F.lit("langid")), F.lit(2**40))
+    known = known.select(q(lang).alias("l"), q(text).alias("t"), turn.alias("turn"))
+    share = F.greatest(F.min("turn"), F.floor(F.lit(float(train_rows)) / F.count("*") * 2**40))
+    limits = known.groupBy("l").agg(share.alias("limit"))
+    picked = known.join(F.broadcast(limits) if limits.count() <= MAX_LANGUAGES else limits, "l").where(F.col("turn") <= F.col("limit"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches_by_bytes(batches, "t", 2 << 20):
@@ -117,7 +129,7 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", where: Column
                 keys, n = np.unique(np.concatenate([ngrams(t) for t in own.t]), return_counts=True)
                 yield pa.record_batch({"l": pa.array([name] * len(keys), pa.string()), "k": pa.array(keys, pa.int64()), "n": pa.array(n, pa.int64())})
 
-    sums = picked.select(q(lang).alias("l"), q(text).alias("t")).mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n"))
+    sums = picked.select("l", "t").mapInArrow(count, "l string, k long, n long").groupBy("l", "k").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "k"))
     rows: dict[str, list[int]] = {}
     for r in sums.withColumn("r", rank).where(F.col("r") <= top).select("l", "k", "r").collect():
@@ -130,11 +142,18 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text", lang: str = "
     prepare(df.sparkSession)
     kind = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType())])
 
-    @F.arrow_udf(kind)
-    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
-            found = [profiles.predict(t) for piece in pieces(batch) for t in texts_of(piece)]
-            yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
-
-    tmp = "_quill_best"
-    return without(df.withColumn(tmp, best.asNondeterministic()(q(text))), lang, score).select("*", F.col(f"{tmp}.lang").alias(lang), F.col(f"{tmp}.score").alias(score)).drop(tmp)
+    def best_of(some: Profiles) -> Column:
+        @F.arrow_udf(kind)
+        def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                found = [some.predict(t) for piece in pieces(batch) for t in texts_of(piece)]
+                yield pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
+
+        return best.asNondeterministic()(q(text))
+
+    first, *others = profiles.parts(MAX_LANGUAGES)
+    tmp, more = "_quill_best", "_quill_more"
+    found = df.withColumn(tmp, best_of(first))
+    for some in others:  # a later name wins by a higher score only
+        found = found.withColumn(more, best_of(some)).withColumn(tmp, F.when(F.col(f"{more}.score") > F.col(f"{tmp}.score"), F.col(more)).otherwise(F.col(tmp))).drop(more)
+    return without(found, lang, score).select("*", F.col(f"{tmp}.lang").alias(lang), F.col(f"{tmp}.score").alias(score)).drop(tmp)

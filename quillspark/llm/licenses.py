@@ -2,17 +2,18 @@
 
 Texts and templates are words in lower case (letters, marks, numbers); every GRAM words in a row have a hash, and of every WINDOW hashes in a row
 the smallest (the last of equals) is a fingerprint. A run of GRAM + WINDOW - 1 words that a text shares with a template so has a common fingerprint.
+Of templates so short that MIN_COVERAGE can be reached without such a run every two words in a row are fingerprints instead.
 The index leads from fingerprint to places in templates. Hits of one template whose diagonals (place in the text less place in the template) lie
-within BAND of each other and that are no further apart than the template is long make a region; there the template is aligned with the text's
-words inside a band around the hits' diagonals: a match counts 1, a differing or missing or extra word -0.5. Of the template's words that
+within BAND of each other and that are no further apart than the template is long make a region, of as many diagonals as the template has words at most; there the
+template is aligned with the text's words inside a band around the hits' diagonals: a match counts 1, a differing or missing or extra word -0.5. Of the template's words that
 match in the best alignment the share is the coverage; the span runs from the first matched word to the last, in characters of the text.
 
 A region of fewer hits than one for every SPARSE words of its template is not aligned: a text that has MIN_COVERAGE of a template has more, unless hardly four words
-in a row agree.
+in a row agree. For short templates it has to have as many hits as MIN_COVERAGE implies, less two for words put in.
 
 Findings under MIN_COVERAGE are left out, and of findings that overlap only the best stays: of templates of LONG words or more (texts and headers, in which
 headers and notices are) the one with most words, then most coverage; else the one with most coverage, then most words; then the smaller name. Null, empty and
-wordless texts have no findings; repeats within a text are findings each; texts of any length are read whole. Templates are a parameter: name -> text; by
+wordless texts have no findings; repeats within a text are findings each, repeated rows have the same ones; an empty table gives an empty table; texts of any length are read whole. Templates are a parameter: name -> text; by
 default the texts and headers in license_texts and the short notices here.
 """
 
@@ -81,77 +82,100 @@ def words_of(text: str) -> tuple[list[str], np.ndarray, np.ndarray]:
 
 def align(template: list[str], words: list[str], low: int, high: int) -> tuple[int, int, int]:
     """The best alignment of a template with words on diagonals low..high: matched words, and the first and last matched place (-1 if none)."""
+    numbers = {w: i for i, w in enumerate(template)}
     width = high - low + 1
-    none = (0.0, 0, -1, -1)  # score, matched, first, last
-    above = [none] * width
-    best = none
+    begin = min(max(0, low), len(words))
+    text = np.full(len(template) + width, -1)  # the words from place `low` on; -1 where there is none or it is in no template
+    here = words[begin : max(begin, low + len(text))]
+    text[begin - low : begin - low + len(here)] = [numbers.get(w, -1) for w in here]
+    column, cost = np.arange(width), 0.5 * np.arange(width)
+    score, best = np.zeros(width), (0, 0.0, -1, -1)
+    kept = np.stack([np.zeros(width, np.int64), np.full(width, -1), np.full(width, -1)])  # matched, first, last
     for i, word in enumerate(template):
-        row: list[tuple[float, int, int, int]] = []
-        for d in range(width):
-            j = i + low + d
-            score, matched, first, last = above[d]
-            if 0 <= j < len(words) and words[j] == word:
-                cell = (score + 1, matched + 1, j if first < 0 else first, j)
-            else:
-                cell = (score - 0.5, matched, first, last)
-            if d + 1 < width and above[d + 1][0] - 0.5 > cell[0]:  # the template's word is missing
-                cell = (above[d + 1][0] - 0.5, *above[d + 1][1:])
-            if d and row[d - 1][0] - 0.5 > cell[0]:  # the text has a word more
-                cell = (row[d - 1][0] - 0.5, *row[d - 1][1:])
-            row.append(cell if cell[0] > 0 or cell[1] else none)
-            if (cell[1], cell[0]) > (best[1], best[0]):
-                best = cell
-        above = row
-    return best[1], best[2], best[3]
+        equal = text[i : i + width] == numbers[word]
+        above, held = score, kept
+        score, kept, place = np.where(equal, above + 1, above - 0.5), held.copy(), i + low + column
+        kept[0] += equal
+        kept[1] = np.where(equal & (kept[1] < 0), place, kept[1])
+        kept[2] = np.where(equal, place, kept[2])
+        missing = np.flatnonzero(above[1:] - 0.5 > score[:-1])  # the template's word is missing
+        score[missing], kept[:, missing] = above[missing + 1] - 0.5, held[:, missing + 1]
+        level = score + cost  # words more in the text: the best to the left
+        source = np.maximum.accumulate(np.where(level >= np.maximum.accumulate(level), column, 0))
+        score, kept = level[source] - cost, kept[:, source]
+        none = (score <= 0) & (kept[0] == 0)
+        score[none], kept[1:, none] = 0.0, -1
+        most = int(kept[0].max())
+        if most >= best[0]:
+            at = int(np.where(kept[0] == most, score, -np.inf).argmax())
+            best = max(best, (most, float(score[at]), int(kept[1, at]), int(kept[2, at])), key=lambda x: x[:2])
+    return best[0], best[2], best[3]
+
+
+def misses(n: int, min_coverage: float) -> int:
+    """How many of n words may fail to match."""
+    return n - int(np.ceil(min_coverage * n - 1e-9))
 
 
 class Library:
-    """Templates and the inverted index of their fingerprints."""
+    """Templates and the inverted indexes of their fingerprints: of short ones every two words, of others winnowed runs of GRAM words."""
 
-    def __init__(self, templates: Mapping[str, str]):
-        self.names = sorted(templates)
+    def __init__(self, templates: Mapping[str, str], min_coverage: float = MIN_COVERAGE):
+        self.names, self.min_coverage = sorted(templates), min_coverage
         self.words = [words_of(templates[n])[0] for n in self.names]
-        hashes, starts = shingle_hashes([templates[n] for n in self.names], GRAM)
-        places: dict[int, list[tuple[int, int]]] = {}
-        for t in range(len(self.names)):
-            own = hashes[starts[t] : starts[t + 1]]
-            for j in winnow(own).tolist():
-                places.setdefault(int(own[j]), []).append((t, j))
-        self.places = places
-        self.keys = np.array(sorted(places), np.uint64)
-
-    def scan(self, texts: list[str], min_coverage: float = MIN_COVERAGE) -> list[list[dict]]:
-        hashes, starts = shingle_hashes(texts, GRAM)
-        out: list[list[dict]] = [[] for _ in texts]
-        if not len(self.keys) or not len(hashes):
-            return out
-        hit = self.keys[np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)] == hashes
-        for t in np.unique(np.searchsorted(starts, np.flatnonzero(hit), "right") - 1).tolist():
-            own, own_hit = hashes[starts[t] : starts[t + 1]], hit[starts[t] : starts[t + 1]]
-            found = [p for p in winnow(own).tolist() if own_hit[p]]
-            out[t] = self.findings(texts[t], [(name, p, j) for p in found for name, j in self.places[int(own[p])]], min_coverage) if found else []
-        return out
-
-    def findings(self, text: str, hits: list[tuple[int, int, int]], min_coverage: float) -> list[dict]:
+        self.needs = [0] * len(self.names)
+        self.places: dict[int, dict[int, list[tuple[int, int]]]] = {2: {}, GRAM: {}}
+        for t, words in enumerate(self.words):
+            n, lost = len(words), misses(len(words), min_coverage)
+            short = n > 1 and -(-(n - lost) // (lost + 1)) < GRAM + WINDOW - 1
+            own = shingle_hashes([templates[self.names[t]]], 2 if short else GRAM)[0]
+            self.needs[t] = max(1, n - 2 * lost - 3) if short else max(1, n // SPARSE)
+            for j in range(len(own)) if short else winnow(own).tolist():
+                self.places[2 if short else GRAM].setdefault(int(own[j]), []).append((t, j))
+        self.keys = {gram: np.array(sorted(places), np.uint64) for gram, places in self.places.items()}
+
+    def scan(self, texts: list[str]) -> list[list[dict]]:
+        hits: dict[int, list[tuple[int, int, int]]] = {}
+        for gram, keys in self.keys.items():
+            hashes, starts = shingle_hashes(texts, gram)
+            if not len(keys) or not len(hashes):
+                continue
+            hit = keys[np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)] == hashes
+            for t in np.unique(np.searchsorted(starts, np.flatnonzero(hit), "right") - 1).tolist():
+                own, own_hit = hashes[starts[t] : starts[t + 1]], hit[starts[t] : starts[t + 1]]
+                found = [p for p in (winnow(own) if gram == GRAM else np.flatnonzero(own_hit)).tolist() if own_hit[p]]
+                hits.setdefault(t, []).extend((name, p, j) for p in found for name, j in self.places[gram][int(own[p])])
+        return [self.findings(text, hits[t]) if t in hits else [] for t, text in enumerate(texts)]
+
+    def regions(self, name: int, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        """The lowest and highest diagonals of regions with hits enough; hits are (place in the text, place in the template)."""
+        n = len(self.words[name])
+        out: list[list[int]] = []  # lowest and highest diagonal, last place, hits
+        for p, d in sorted((p, p - j) for p, j in hits):
+            recent = takewhile(lambda r: p - r[2] <= 2 * n + BAND, reversed(out))
+            near = next((r for r in recent if p - r[2] <= n and r[0] - BAND <= d <= r[1] + BAND and max(r[1], d) - min(r[0], d) <= n), None)
+            if near:
+                near[:] = min(near[0], d), max(near[1], d), p, near[3] + 1
+            else:
+                out.append([d, d, p, 1])
+        return [(low, high) for low, high, _, count in out if count >= self.needs[name]]
+
+    def findings(self, text: str, hits: list[tuple[int, int, int]]) -> list[dict]:
+        by_name: dict[int, list[tuple[int, int]]] = {}
+        for name, p, j in hits:
+            by_name.setdefault(name, []).append((p, j))
+        regions = [(name, low, high) for name in sorted(by_name) for low, high in self.regions(name, by_name[name])]
+        if not regions:
+            return []
         words, first_char, past_char = words_of(text)
         own = []
-        for name in sorted({h[0] for h in hits}):
-            template, mine = self.words[name], sorted((p, p - j) for n, p, j in hits if n == name)
-            regions: list[list[int]] = []  # lowest and highest diagonal, last place, hits
-            for p, d in mine:
-                near = next((r for r in takewhile(lambda r: p - r[2] <= 2 * len(template) + BAND, reversed(regions)) if p - r[2] <= len(template) and r[0] - BAND <= d <= r[1] + BAND), None)
-                if near:
-                    near[:] = min(near[0], d), max(near[1], d), p, near[3] + 1
-                else:
-                    regions.append([d, d, p, 1])
-            for low, high, _, n_hits in regions:
-                if n_hits < len(template) // SPARSE:
-                    continue
-                matched, first, last = align(template, words, low - BAND, high + BAND)
-                if first >= 0 and matched / len(template) >= min_coverage:
-                    coverage = matched / len(template)
-                    order = (0, -matched, -coverage) if len(template) >= LONG else (1, -coverage, -matched)
-                    own.append((order, name, first, last, coverage, matched))
+        for name, low, high in regions:
+            template = self.words[name]
+            matched, first, last = align(template, words, low - BAND, high + BAND)
+            coverage = matched / len(template)
+            if first >= 0 and coverage >= self.min_coverage:
+                order = (0, -matched, -coverage) if len(template) >= LONG else (1, -coverage, -matched)
+                own.append((order, name, first, last, coverage, matched))
         starts: list[int] = []  # of the spans taken so far, which do not overlap, in order
         ends: list[int] = []
         out = []
@@ -173,8 +197,10 @@ def scan(df: DataFrame, text: str = "text", templates: Mapping[str, str] | None
     @F.arrow_udf(SQL_KIND)
     def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         if not library:
-            library.append(Library(templates))
+            library.append(Library(templates, min_coverage))
         for batch in batches:
-            yield pa.array([x for piece in pieces(batch) for x in library[0].scan(texts_of(piece), min_coverage)], KIND)
+            yield pa.array([x for piece in pieces(batch) for x in library[0].scan(texts_of(piece))], KIND)
 
-    return without(df, out).withColumn(out, found(q(text)))
+    tmp = "_quill_licenses"  # not deterministic in name only: else a filter on the findings would scan every text twice
+    rows = df.withColumn(tmp, found.asNondeterministic()(q(text)))
+    return without(rows, out).withColumnRenamed(tmp, out)

@@ -8,25 +8,30 @@ is empty. A dart has a hashed coordinate of k; the earliest dart in each coordin
 entry with the probability of their weighted Jaccard similarity.
 
 Signatures are cut into BANDS of ROWS entries; texts that share a band are candidates. At a similarity of 0.8 the chance that no band is shared
-is (1 - 0.8^5)^30 < 7e-6. In each shared band, one leader is compared with the rest, never all pairs: exact similarity of the
-shingle sets (32-bit hashes) decides, after their sizes. The leader is the most central member, whose bands are the largest together: of a text and its
-copies, which may each differ elsewhere, that is the text. Then components are built, and while a band still holds more than one component, the next
-round tries members of further components there (LEADERS at a time, more in a small band, central ones first, later any) against the members of other components. These rounds end when
-all bands hold one component, every pair with a leader has been compared, or a round after the first found no link. Then the pairs of still different
-components are completed: all of a band of at most SMALL members; of larger bands all that can reach the threshold, found by their rarest shingles.
+is (1 - 0.8^5)^30 < 7e-6. Exact similarity of the shingle sets (32-bit hashes) decides on candidates:
+
+- A band of at most BLOCK texts (and BLOCK_SHINGLES shingles) is one block, a larger one is dealt into several; bands that hold the same texts are one. Inside a block
+  components grow from a text at a time: whatever joins is compared with all that have not joined yet, so in the end any two texts of a block are
+  connected by links or were compared. A task holds one block; what leaves it is a link for each text that joined, not pairs.
+- Then components are built over all blocks. In a band of several blocks that still holds more than one component, every text outside of the band's largest component is
+  compared with all texts of other components there, block by block.
+
+So every candidate pair is compared, or its texts are connected by other links: nothing is capped, and no link of two candidates is lost. The second step takes a
+time in proportion to (texts outside of the largest component) x (texts) of each such band; where a crowd of texts is alike but not alike enough, that is the square of it.
 
 Identical texts are one class whatever they hold (null counts as empty); they are collapsed before anything else. Texts without words link to
-identical texts only. Nothing is capped.
+identical texts only; texts of fewer than five words are one shingle. Texts of any length are read whole. Of ties between ids the smallest stands for a class; repeated rows
+belong to its class each. Only key and text are read, so other columns may have any names. An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,10 +40,10 @@ from pyspark.sql import types as T
 from .common import pieces, prepare, q, texts_of, written
 
 SHINGLE, THRESHOLD, BANDS, ROWS = 5, 0.8, 30, 5
-#: Leaders that a band tries at a time once the first one has been compared; and in a band of at most SMALL members.
-LEADERS, SMALL_LEADERS, SMALL = 2, 8, 16
-#: Rows that make a task worth its while, and how many such rows a pair of shingle sets counts for.
-ROWS_A_TASK, SET_ROWS = 20_000, 20
+#: Texts and shingles of a block at most.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Rows that make a task worth its while.
+ROWS_A_TASK = 20_000
 U = np.uint64
 
 
@@ -211,37 +216,113 @@ def components(edges: DataFrame, name: str) -> DataFrame:
             return labels
 
 
-def likely_pairs(nodes: DataFrame, sets: DataFrame, threshold: float, rows: int) -> DataFrame:
-    """(a, b) of different labels, of nodes (node, label), at least all whose sets reach the threshold.
+def common_with(x: np.ndarray, mark: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """How many members of x each of several sets has; the sets stand in flat one after another."""
+    mark[x] = 1
+    out = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+    mark[x] = 0
+    return out
+
+
+def joined_sets(sets: list[np.ndarray], threshold: float) -> np.ndarray:
+    """For each set the first one of its component, in which sets are linked that reach the threshold."""
+    n = len(sets)
+    root, size = np.arange(n), np.fromiter(map(len, sets), np.int64, n)
+    if n == 2:
+        common = len(np.intersect1d(*sets, assume_unique=True))
+        root[1] = 0 if common >= threshold * (size.sum() - common) else 1
+        return root
+    members, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(flat, np.cumsum(size)[:-1])
+    mark, left = np.zeros(len(members), np.uint8), np.arange(n)
+    while len(left) > 1:
+        seed, left = left[0], left[1:]
+        todo, held = [seed], None
+        while todo and len(left):
+            x = todo.pop()
+            if held is None:
+                held = np.concatenate([parts[i] for i in left]), np.cumsum(size[left]) - size[left]
+            common = common_with(parts[x], mark, *held)
+            near = common >= threshold * (size[x] + size[left] - common)
+            if near.any():
+                root[left[near]] = seed
+                todo += left[near].tolist()
+                left, held = left[~near], None
+    return root
+
+
+def links_between(sets: list[np.ndarray], labels: list, asks: list[bool], threshold: float) -> list[tuple[int, int]]:
+    """Links of the sets that ask with sets of other labels, enough to connect what is connected."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    members, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    starts, mark = np.cumsum(size) - size, np.zeros(len(members), np.uint8)
+    parts, own = np.split(flat, starts[1:]), np.unique(np.array(labels, object), return_inverse=True)[1]
+    out = []
+    for x in np.flatnonzero(asks).tolist():
+        common = common_with(parts[x], mark, flat, starts)
+        for y in np.flatnonzero((common >= threshold * (size[x] + size - common)) & (own != own[x])).tolist():
+            if own[x] != own[y]:
+                out.append((x, y))
+                own[own == own[y]] = own[x]
+    return out
 
-    With shingles in one order, rarest first, two sets x and y (x the smaller) that reach it share a shingle among the first |x| - ceil(2t|x|/(1+t)) + 1 of x
-    and |y| - ceil(t|y|) + 1 of y; what stands before the first one they share bounds what they have in common. Shingles that a crowd shares
-    come last, so its members do not meet by them. Sizes fall into ranges by powers of 1/t; y is also dealt to the range below its own.
-    """
-    own = nodes.join(sets, "node").select("node", "label", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    often = own.groupBy("shingle").agg(F.count("*").alias("df"))
-    ranked = sized(own.join(often, "shingle"), rows).groupBy("node", "label", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("s"))
-    ceil = lambda share: F.ceil(share * F.col("n") - 1e-9)
-    kept = ranked.select("node", "label", "n", (F.col("n") - ceil(2 * threshold / (1 + threshold)) + 1).alias("small"), F.posexplode(F.slice("s", F.lit(1), (F.col("n") - ceil(threshold) + 1).cast("int"))).alias("i", "s"))
-    kept = written(kept.where("s.df > 1").withColumn("range", F.floor(F.log("n") / -float(np.log(threshold)) + 1e-9)), "minhash-prefixes")
-    side = lambda df, name: df.groupBy("shingle", "range", "label").agg(F.collect_list(F.struct("node", "n", "i")).alias(name)).withColumnRenamed("label", f"{name}_label")
-    xs = side(kept.where("i < small").select("s.shingle", "range", "label", "node", "n", "i"), "x")
-    ys = side(kept.select("s.shingle", F.explode(F.array("range", F.col("range") - 1)).alias("range"), "label", "node", "n", "i"), "y")
-    met = xs.join(ys, ["shingle", "range"]).where("x_label <> y_label").select(F.explode("x").alias("x"), "y")
-
-    def may(y: Column) -> Column:
-        x = F.col("x")
-        after = (F.struct(x["n"], x["node"]) < F.struct(y["n"], y["node"])) & (x["n"] >= threshold * y["n"] - 1e-9)
-        return after & (1 + F.least(x["n"] - x["i"] - 1, y["n"] - y["i"] - 1) >= threshold / (1 + threshold) * (x["n"] + y["n"]) - 1e-9)
-
-    found = met.select(F.col("x.node").alias("one"), F.explode(F.filter("y", may)).alias("other"))
-    return found.select(F.least("one", "other.node").alias("a"), F.greatest("one", "other.node").alias("b")).distinct()
+
+def blocks_of(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The columns of each block of rows that agree in the keys, as lists (sets as arrays); rows come sorted by the keys."""
+    held: dict[str, list] = {}
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.stack([batch.column(k).to_numpy() for k in keys], 1)
+        cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), batch.num_rows]
+        columns = {}
+        for name in batch.schema.names:
+            if name == "set":
+                lists = batch.column(name)
+                columns[name] = np.split(lists.flatten().to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())[:-1])
+            elif name not in keys:
+                columns[name] = batch.column(name).to_pylist()
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(key[a].tolist())
+            if held and now != last:
+                yield held
+                held = {}
+            last = now
+            for name, values in columns.items():
+                held.setdefault(name, []).extend(values[a:b])
+    if held:
+        yield held
 
 
 def text_node(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
+def links_across(members: DataFrame, labels: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): links between components in bands of several blocks, members (band, parts, node, size). In each band all texts outside of its largest component ask all texts of others."""
+    own = written(members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "minhash-crowd")
+    held = own.groupBy("band", "label").agg(F.count("*").alias("n"), F.sum("size").alias("weight"))
+    band = held.groupBy("band").agg(F.max(F.struct("n", "label", "weight")).alias("main"), F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    turns = F.ceil(F.greatest((F.col("n") - F.col("main.n")) / BLOCK, (F.col("weight") - F.col("main.weight")) / BLOCK_SHINGLES))
+    open_ = band.where(F.col("n") > F.col("main.n")).select("band", F.col("main.label").alias("main"), turns.alias("turns"))
+    rows = own.join(open_, "band").join(sets, "node")
+    block, turn = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts")), F.pmod(F.xxhash64("node", F.lit(3)), F.col("turns"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    listed = F.transform(upto("turns"), lambda t: F.struct(block.cast("long").alias("block"), t.alias("turn"), F.lit(False).alias("asks")))
+    asking = F.when(F.col("label") != F.col("main"), F.transform(upto("parts"), lambda b: F.struct(b.alias("block"), turn.cast("long").alias("turn"), F.lit(True).alias("asks")))).otherwise(F.slice(listed, 1, 0))
+    dealt = rows.select("band", "node", "label", "set", F.explode(F.concat(listed, asking)).alias("p")).select("band", "p.block", "p.turn", "p.asks", "node", "label", "set")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in blocks_of(batches, ("band", "block", "turn")):
+            pairs = links_between(found["set"], found["label"], found["asks"], threshold)
+            if pairs:
+                yield pa.record_batch({k: pa.array([found["node"][p[i]] for p in pairs], pa.binary()) for i, k in enumerate("ab")})
+
+    order = ("band", "block", "turn")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(links, "a binary, b binary").distinct()
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
     """A row for each distinct text: node (its md5), rep (its smallest id, nulls first), rep_rows (rows with that id and text), n_rows, class_id
     (the smallest id of its class) and keeper (whether it is the text that stands for its class: of those with the smallest id the one with the smallest md5).
@@ -254,77 +335,37 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     reps = written(reps.select("node", F.col("low.id").alias("rep"), F.col("low.n").alias("rep_rows"), "least_id", "n_rows", "bands"), "minhash-texts")
 
     every = reps.select("node", F.col("bands.size").alias("size"), F.explode("bands.keys").alias("band"))
-    shared = every.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    found = written(every.join(shared, "band"), "minhash-bands")
-    rows_ = found.count()
-    central = sized(found.groupBy("node").agg(F.sum("n").alias("central")), rows_)
-    members = written(sized(found.drop("n").join(central, "node"), rows_), "minhash-members")
-    candidates = members.select("node").distinct().join(reps.select("node", "rep"), "node")
-    texts = base.join(candidates.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
-    sets = written(texts.select("node", sets_of(F.col("text"), size, weights).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
-
-    def linked_of(pairs: DataFrame, n: int) -> DataFrame:
-        second = sized(pairs.join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b"), n * SET_ROWS)
-        both = sized(second.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a"), n * SET_ROWS)
-        common = F.size(F.array_intersect("set_a", "set_b"))
-        return written(both.where(common >= threshold * (F.size("set_a") + F.size("set_b") - common)).select("a", "b"), "minhash-links")
-
-    def joined(labels: DataFrame | None, near: DataFrame, n: int) -> DataFrame:
-        if labels is None:
-            return components(near, "minhash")
-        # Later links join components found so far: their labels are the nodes of a smaller graph.
-        known = labels.select("node", "label")
-        ends = near.join(known.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(known.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
-        ends = sized(ends, n).select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        merged = components(ends, "minhash")
-        moved = known.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-        fresh = merged.join(known, "node", "left_anti").select("node", "label")
-        return written(sized(moved.unionByName(fresh), rows_), "minhash-labels")
-
-    def labelled(labels: DataFrame | None) -> DataFrame:
-        return members.withColumn("label", F.col("node")) if labels is None else sized(members.join(labels, "node", "left"), rows_).withColumn("label", F.coalesce("label", "node"))
-
-    labels, tested = None, None
-    for turn in count():
-        own = labelled(labels)
-        # Of each component in a band one member may lead; the components are dealt by hash into as many classes as there are leaders.
-        key = -F.col("central") if turn < 2 else F.xxhash64("node", F.lit(turn))
-        heads = own.groupBy("band", "label").agg(F.min(F.struct(key.alias("key"), "node", "size")).alias("head"), F.count("*").alias("held"))
-        dealt, head = F.xxhash64("label", F.lit(turn)), F.struct("head.key", "head.node", "head.size", "label")
-        few, many = (F.array(*(F.min(F.when(F.pmod(dealt, F.lit(n)) == i, head)) for i in range(n))) for n in ((LEADERS, SMALL_LEADERS) if turn else (1, 1)))
-        lead = heads.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.sum("held").alias("held"), few.alias("few"), many.alias("many"))
-        lead = lead.where("lo <> hi").select("band", F.explode(F.when(F.col("held") <= SMALL, F.col("many")).otherwise(F.col("few"))).alias("lead")).where("lead IS NOT NULL")
-        alike = (F.col("label") != F.col("lead.label")) & (F.least("size", "lead.size") >= threshold * F.greatest("size", "lead.size"))
-        pairs = sized(own.join(lead, "band"), rows_).where(alike).select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
-        pairs = written(sized(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), rows_), "minhash-pairs")
-        n = pairs.count()
-        if not n:
-            break
-        near = linked_of(pairs, n)
-        tested = pairs if tested is None else tested.union(pairs)
-        if near.isEmpty():
-            if turn:
-                break
-            continue
-        labels = joined(labels, near, n)
-    # What no leader met: the rest of the pairs of different components.
-    own = labelled(labels)
-    open_ = own.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("band", "held")
-    left = written(sized(own.join(open_, "band"), rows_).select("band", "held", "node", "size", "label"), "minhash-open")
-    few = left.where(F.col("held") <= SMALL)
-    other = few.select("band", *(F.col(c).alias(f"other_{c}") for c in ("node", "size", "label")))
-    alike = (F.col("node") < F.col("other_node")) & (F.col("label") != F.col("other_label")) & (F.least("size", "other_size") >= threshold * F.greatest("size", "other_size"))
-    pairs = few.join(other, "band").where(alike).select(F.col("node").alias("a"), F.col("other_node").alias("b"))
-    crowd = written(left.where(F.col("held") > SMALL).select("node", "label").distinct(), "minhash-crowd")
-    if not crowd.isEmpty():
-        pairs = pairs.unionByName(likely_pairs(crowd, sets, threshold, rows_))
-    pairs = pairs.distinct()
-    pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-    n = pairs.count()
-    if n:
-        near = linked_of(pairs, n)
-        if not near.isEmpty():
-            labels = joined(labels, near, n)
+    # Bands of the same texts are one: their number and two hashes of 64 bits over all of them tell.
+    shared = every.groupBy("band").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.bit_xor(F.xxhash64("node")).alias("h"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("g")).where("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") / BLOCK, F.col("low.weight") / BLOCK_SHINGLES))
+    distinct = shared.groupBy("n", "h", "g").agg(F.min(F.struct("band", "weight")).alias("low")).select("low.band", parts.alias("parts"))
+    members = written(every.join(distinct, "band"), "minhash-members")
+    rows_, most = members.agg(F.count("*"), F.max("parts")).first()
+    labels = None
+    if rows_:
+        candidates = members.select("node").distinct().join(reps.select("node", "rep"), "node")
+        texts = base.join(candidates.withColumnRenamed("node", "c"), (F.col("node") == F.col("c")) & F.col("id").eqNullSafe(F.col("rep"))).select("node", "text")
+        sets = written(texts.select("node", sets_of(F.col("text"), size, weights).alias("set")).groupBy("node").agg(F.first("set").alias("set")), "minhash-sets")
+        block = F.pmod(F.xxhash64("node", F.lit(2)), F.col("parts"))
+
+        def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for found in blocks_of(batches, ("band", "block")):
+                root = joined_sets(found["set"], threshold)
+                some = np.flatnonzero(root != np.arange(len(root))).tolist()
+                if some:
+                    yield pa.record_batch({"a": pa.array([found["node"][root[i]] for i in some], pa.binary()), "b": pa.array([found["node"][i] for i in some], pa.binary())})
+
+        blocks = members.join(sets, "node").select("band", block.alias("block"), "node", "set")
+        near = written(blocks.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(links, "a binary, b binary").distinct(), "minhash-links")
+        labels = components(near, "minhash")
+        if most > 1:
+            more = written(links_across(members.where("parts > 1"), labels, sets, threshold), "minhash-links")
+            if not more.isEmpty():
+                # These join components found so far: their labels are the nodes of a smaller graph.
+                ends = more.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a", "left").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b", "left")
+                merged = components(ends.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "minhash")
+                moved = labels.join(merged.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+                labels = written(moved.unionByName(merged.join(labels, "node", "left_anti").select("node", "label")), "minhash-labels")
     if labels is None:
         out = reps.withColumn("class_id", F.col("least_id")).withColumn("keeper", F.lit(True))
         return out.drop("bands", "least_id")

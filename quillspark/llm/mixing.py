@@ -10,7 +10,8 @@ The mix ends when every row of every source has been placed at least once; sourc
 epochs. No row is dropped. Sources are split into buckets of about BUCKET rows for numbering, so no task gets a whole source.
 
 A null source is a source of its own. An empty table gives an empty mix. Repeated rows keep a place each. Given weights must be
-positive and name every source (None for null); more sources than MAX_SOURCES raise ValueError.
+positive and name every source (None for null). Columns called like an output are replaced. With over QUANTA sources a period has four slots a source, rounded up
+to a power of two; the driver computes a period, in proportion to the sources, whatever the rows.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ from pyspark.sql import types as T
 
 from .common import prepare, q
 
-BLOCK, QUANTA, BUCKET, ALPHA = 16, 4096, 20_000, 0.7
-#: The table of sources is broadcast, QUANTA slots in all; this bounds it.
+BLOCK, QUANTA, BUCKET, ALPHA = 16, 4096, 5_000, 0.7
+#: The table of sources (QUANTA slots in all) is broadcast up to so many sources; of more it is joined by a shuffle.
 MAX_SOURCES = QUANTA
+#: Epochs of a row that one task makes at most: a source that recurs more often is dealt to several tasks.
+EPOCHS = 64
 
 
 def shares_of(weights: Mapping, quanta: int = QUANTA) -> dict:
@@ -75,9 +78,9 @@ def mix_and_length(df: DataFrame, source: str = "source", key: str = "doc_id", w
     weights: by source; by default each source's number of rows to the power alpha.
     """
     spark = prepare(df.sparkSession)
-    counts = {r[0]: r[1] for r in df.groupBy(q(source).cast("string")).count().limit(MAX_SOURCES + 1).collect()}
-    if len(counts) > min(MAX_SOURCES, quanta):
-        raise ValueError(f"more than {min(MAX_SOURCES, quanta)} sources")
+    counts = {r[0]: r[1] for r in df.groupBy(q(source).cast("string")).count().collect()}
+    if len(counts) > quanta:
+        quanta = 1 << (4 * len(counts) - 1).bit_length()
     own = {k: n**alpha for k, n in counts.items()} if weights is None else {k: weights[k] for k in counts} if counts.keys() <= weights.keys() else None
     if own is None:
         raise ValueError(f"no weight for {sorted(map(str, counts.keys() - weights.keys()))[:5]}")
@@ -86,19 +89,21 @@ def mix_and_length(df: DataFrame, source: str = "source", key: str = "doc_id", w
     blocks = {k: -(-n // block) for k, n in counts.items()}
     length = max([0, *((b - 1) // shares[k] * quanta + slots[k][(b - 1) % shares[k]] + 1 for k, b in blocks.items())])
     room = {k: block * (length // quanta * shares[k] + sum(s < length % quanta for s in slots[k])) for k in shares}
-    kind = T.StructType([T.StructField(n, t) for n, t in (("_s", T.StringType()), ("_n", T.LongType()), ("_b", T.LongType()), ("_p", T.LongType()), ("_room", T.LongType()), ("_slots", T.ArrayType(T.IntegerType())))])
-    plan = spark.createDataFrame([(k, n, -(-n // bucket), shares[k], room[k], slots[k]) for k, n in counts.items()], kind)
+    kind = T.StructType([T.StructField(n, t) for n, t in (("_s", T.StringType()), ("_n", T.LongType()), ("_b", T.LongType()), ("_p", T.LongType()), ("_room", T.LongType()), ("_turns", T.LongType()), ("_slots", T.ArrayType(T.IntegerType())))])
+    plan = spark.createDataFrame([(k, n, -(-n // bucket), shares[k], room[k], -(-room[k] // (n * EPOCHS)), slots[k]) for k, n in counts.items()], kind)
+    near = F.broadcast if len(counts) <= MAX_SOURCES else lambda x: x
 
     names = df.columns
     hashed = [q(c) for c, f in zip(names, df.schema.fields, strict=True) if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
     rows = df.select(F.struct(*(q(c) for c in names)).alias("_row"), q(source).cast("string").alias("_source"), F.xxhash64(q(key), F.lit("mix")).alias("_h"), F.xxhash64(*hashed).alias("_tie"))
-    rows = rows.join(F.broadcast(plan.select("_s", "_b")), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.pmod("_h", "_b")).drop("_s", "_b")
+    rows = rows.join(near(plan.select("_s", "_b", "_turns")), F.col("_source").eqNullSafe(F.col("_s"))).withColumn("_bucket", F.pmod("_h", "_b")).drop("_s", "_b")
     sizes = rows.groupBy("_source", "_bucket").agg(F.count("*").alias("_size"))
     offsets = sizes.selectExpr("_source", "_bucket AS _at", "coalesce(sum(_size) OVER (PARTITION BY _source ORDER BY _bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS _offset").withColumnRenamed("_source", "_of")
-    numbered = rows.selectExpr("*", "row_number() OVER (PARTITION BY _source, _bucket ORDER BY _h, _tie) - 1 AS _k")
+    dealt = rows.withColumn("_turn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_turns") - 1))).drop("_turns")
+    numbered = dealt.selectExpr("*", "row_number() OVER (PARTITION BY _source, _bucket, _turn ORDER BY _h, _tie) - 1 AS _k")
     placed = numbered.join(offsets, F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_at"))).withColumn("_k", F.col("_k") + F.col("_offset"))
-    placed = placed.join(F.broadcast(plan), F.col("_source").eqNullSafe(F.col("_s")))
-    every = placed.selectExpr("_row", "_k", "_n", "_p", "_slots", "explode(sequence(0L, (_room - 1 - _k) DIV _n)) AS _epoch")
+    placed = placed.join(near(plan.drop("_turns")), F.col("_source").eqNullSafe(F.col("_s")))
+    every = placed.selectExpr("_row", "_k", "_n", "_p", "_slots", f"explode(filter(sequence(_turn * {EPOCHS}, _turn * {EPOCHS} + {EPOCHS - 1}), e -> _k + e * _n < _room)) AS _epoch")
     every = every.withColumn("_x", F.expr("_k + _epoch * _n")).withColumn("_i", F.expr(f"_x DIV {block}"))
     out = every.selectExpr("_row", f"((_i DIV _p) * {quanta} + element_at(_slots, CAST(_i % _p AS INT) + 1)) * {block} + _x % {block} AS _position", "_epoch")
     gone = {position.lower(), epoch.lower()}

@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import bpe, chat, gbdt, ivfpq, langid, licenses, minhash, mixing, nra, token_store
 from .common import prepare, remainder
@@ -23,7 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_RANKS)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode(bpe.encode(docs, path), path)
+    both = bpe.round_trip(docs, path)
     return both.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -33,12 +34,26 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.checksums(token_store.documents(spark, path)).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def chat_log(turns: DataFrame) -> DataFrame:
+    """A log of events for finished turns (conv_id, turn, role, text), each row a message of its own: rows of one turn are told apart by their order of role and text.
+
+    An assistant's message comes as a draft, its regeneration and two streamed deltas; any other as a first half that an edit replaces by the whole.
+    """
+    copy = F.row_number().over(Window.partitionBy("conv_id", "turn").orderBy("role", "text"))
+    half, text = F.floor(F.length("text") / 2).cast("int"), F.coalesce("text", F.lit(""))
+    event = lambda seq, kind, said: F.struct(F.lit(seq).alias("seq"), F.lit(kind).alias("kind"), said.alias("text"))
+    first, rest = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+    answer = F.array(event(0, "message", F.lit("(draft)")), event(1, "regenerate", F.lit(None).cast("string")), event(2, "delta", first), event(3, "delta", rest))
+    other = F.array(event(0, "message", first), event(1, "edit", text))
+    rows = turns.select("conv_id", F.struct("turn", copy.alias("copy")).alias("turn"), "role", text.alias("text"))
+    return rows.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == "assistant", answer).otherwise(other)).alias("e")).select("conv_id", "turn", "role", "e.*")
+
+
 def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     own = spark.range(1).selectExpr("-7L AS conv_id", "inline(array(struct(0L AS turn, 'user' AS role), struct(1L AS turn, 'assistant' AS role)))").withColumn("text", F.lit(said))
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
-    events = turns.withColumns({"seq": F.col("turn"), "kind": F.lit("message")})
-    back = chat.parse(chat.format_chats(events))
+    back = chat.parse(chat.format_chats(chat_log(turns)))
     loss = F.array_join(F.transform(F.filter("messages", lambda m: m.learn), lambda m: m.text), "")
     spoken = F.array_join(F.transform("messages", lambda m: F.concat(m.role, F.lit("\n"), m.text, F.lit("\n"))), "")
     return back.select(
@@ -72,7 +87,7 @@ def op8_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    profiles = langid.learn(docs, where=remainder(F.col("doc_id"), 4) != 2)
+    profiles = langid.learn(docs, key="doc_id", where=remainder(F.col("doc_id"), 4) != 2)
     found = langid.predict(docs.drop("lang"), profiles)
     return found.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 

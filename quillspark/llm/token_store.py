@@ -12,12 +12,13 @@ An empty table gives no rows. Columns of other names stay out of the files unles
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import islice, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .bpe import Numbers
+from .bpe import NUMBER, Known, char_classes, contractions, distinct_pieces
 from .common import batches_by_bytes, prepare, q, table_path, texts_of
 
 ROW_GROUP, PAGE, PAGE_ROWS = 8 << 20, 128 << 10, 2000
@@ -33,33 +34,62 @@ OPTIONS = {
     "compression": "zstd", "parquet.writer.version": "v2", "parquet.enable.dictionary": "true", "parquet.dictionary.page.size": str(1 << 20),
     "parquet.block.size": str(ROW_GROUP), "parquet.page.size": str(PAGE), "parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.page.write-checksum.enabled": "true",
 }
-CACHE = 400_000
 LAST_STOP = re.compile(rb"(?<=[a-z])([.,])(?=[ \n]|\Z)")
 NAMES = ("shard", "n_tokens", "first", "tokens")
 
 
-class WordEncoder:
-    """Ids by the tokenizers library, for a tokenizer that lower-cases, drops white space and merges within words.
+@lru_cache(1)
+def plain_characters() -> np.ndarray:
+    """Code points whose class and lower case are beyond doubt and that compose with nothing: Latin letters, ASCII, common punctuation, tab, line feed, return, blank."""
+    out = np.zeros(0x110000, bool)
+    for first, last in ((0x20, 0x7E), (0xA1, 0x12F), (0x131, 0x24F), (0x2010, 0x2027), (0x2030, 0x205E)):
+        out[first : last + 1] = True
+    out[[9, 10, 13]] = True
+    return out
+
 
-    Blanks and line feeds part its words whatever stands around them, and a stop or comma between an ASCII letter and one of these is a word of its own, so
-    each distinct run between such places is encoded once. ASCII letters are lower-cased first, but not in texts with combining marks: there lower
-    case before composition is not the same as after. Runs go to the library many at a time, with a special token between them, which parts their
-    ids again; a run that might spell such a token goes alone, as ordinary text.
+class WordEncoder:
+    """Ids by the tokenizers library. For a tokenizer that composes, lower-cases, drops white space and merges within words (WORDS and NORMAL say how the file
+    must put that) each distinct word is encoded once; for any other, each text goes to the library as it is.
+
+    Texts of plain_characters() are lower-cased and cut into words for a whole batch at once, and distinct words go to the library's model many at a time; the
+    model ends each word by a token that ends in `</w>`, which parts their ids again. Other texts are cut at blanks, line feeds and stops that part their
+    words whatever stands around them: ASCII letters are lower-cased first, but not in texts with combining marks (there lower case before composition is not the same
+    as after), and distinct runs go to the library with a special token between them; a run that might spell such a token goes alone, as ordinary text.
+    A text that holds the string of a special token goes to the library whole. With `special` such a string is that token's id, as the library has it unless told
+    otherwise; without, ordinary text.
     """
 
-    def __init__(self, content: str):
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+
+    def __init__(self, content: str, special: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.alone, self.joined = Tokenizer.from_str(content), Tokenizer.from_str(content)
+        self.whole, self.alone, self.joined = (Tokenizer.from_str(content) for _ in range(3))
+        self.whole.encode_special_tokens = not special
         self.alone.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.part_id, token = min(self.joined.get_added_tokens_decoder().items())
-        self.part = token.content
-        self.forget()
-
-    def forget(self) -> None:
-        self.numbers, self.used = Numbers(), 0
-        self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.specials = [t.content for t in self.joined.get_added_tokens_decoder().values()]
+        parsed = json.loads(content)
+        cut = [x for x in (parsed.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_words = (
+            (parsed.get("normalizer") or {}).get("normalizers") == self.NORMAL and len(cut) == 2 and cut[0].get("pattern") == {"Regex": self.WORDS} and cut[0].get("invert") is True
+            and cut[1].get("type") == "ByteLevel" and cut[1].get("use_regex") is False and parsed["model"].get("end_of_word_suffix") == "</w>" and parsed.get("post_processor") is None and bool(self.specials)
+            and all(t.get("special") and not t.get("normalized") for t in parsed["added_tokens"])
+        )
+        if self.by_words:
+            self.part_id, token = min(self.joined.get_added_tokens_decoder().items())
+            self.part = token.content
+            words = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, cut[1]]}
+            self.model = Tokenizer.from_str(json.dumps(parsed | {"normalizer": None, "pre_tokenizer": words, "added_tokens": []}))
+            vocabulary = self.model.get_vocab(False)
+            self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends_word[[v for k, v in vocabulary.items() if k.endswith("</w>")]] = True
+        self.known, self.words = Known(), Known()
+
+    def alone_ids(self, text: str) -> list[int]:
+        return self.alone.encode(text, add_special_tokens=False).ids
 
     def runs(self, text: str) -> list[bytes]:
         raw = text.encode("utf-8", "replace")
@@ -67,54 +97,92 @@ class WordEncoder:
             raw = LAST_STOP.sub(rb" \1", raw.lower())
         return raw.replace(b"\n", b" ").split(b" ")
 
-    def add(self, fresh: list[bytes]) -> None:
-        texts = [r.decode("utf-8") for r in fresh]
-        odd = [i for i, t in enumerate(texts) if self.part[:2] in t]
-        own = {i: self.alone.encode(texts[i], add_special_tokens=False).ids for i in odd}
-        for i in odd:
-            texts[i] = ""
-        parts, sizes = [], []
+    def add_runs(self, first: int) -> None:
+        texts = [r.decode("utf-8") for r in self.known.fresh(first)]
         for at in range(0, len(texts), 1024):
             some = texts[at : at + 1024]
+            odd = [i for i, t in enumerate(some) if self.part[:2] in t]
+            own = {i: np.array(self.alone_ids(some[i]), np.int32) for i in odd}
+            for i in odd:
+                some[i] = ""
             ids = np.array([*self.joined.encode_batch_fast([self.part.join(some)], add_special_tokens=False)[0].ids, self.part_id], np.int32)
-            ends = np.flatnonzero(ids == self.part_id)
-            sizes.append(np.diff(ends, prepend=-1) - 1)
-            parts.append(ids[ids != self.part_id])
-        size, flat = np.concatenate(sizes), np.concatenate(parts)
-        start = self.used + np.cumsum(size) - size
-        self.used += len(flat)
-        for i in odd:
-            start[i], size[i] = self.used, len(own[i])
-            flat = np.concatenate([flat, np.array(own[i], np.int32)])
-            self.used += len(own[i])
-        self.starts, self.sizes, self.flat = (np.concatenate(x) for x in ((self.starts, start), (self.sizes, size), (self.flat, flat)))
+            sizes = np.diff(np.flatnonzero(ids == self.part_id), prepend=-1) - 1
+            self.known.add(first + at + np.arange(len(some)), sizes, ids[ids != self.part_id])
+            for i in odd:
+                self.known.add(np.array([first + at + i]), np.array([len(own[i])]), own[i])
+
+    def add_words(self, first: int) -> None:
+        spelled = self.words.fresh(first)
+        numbers = first + np.array([i for i, w in enumerate(spelled) if not w.isspace()], np.int64)  # white space has no ids
+        words = [w.decode("utf-8") for w in spelled if not w.isspace()]
+        for at in range(0, len(words), 4096):
+            some = words[at : at + 4096]
+            ids = np.array(self.model.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.flatnonzero(self.ends_word[ids])
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer ends some word by no word end")
+            self.words.add(numbers[at : at + 4096], np.diff(ends, prepend=-1), ids)
+
+    def encode_plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts of plain characters, none empty."""
+        if self.words.crowded():
+            self.words.forget()
+        whole = "".join(texts).lower()
+        codes = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
+        chars = np.concatenate([[0], np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))])
+        kind, start = char_classes()[codes], np.ones(len(codes) + 1, bool)
+        start[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == NUMBER)
+        start[chars[1:]] = True
+        contractions(codes, chars[1:], start)
+        starts = np.flatnonzero(start[:-1])
+        width = np.add.reduceat(1 + (codes >= 0x80).astype(np.int8) + (codes >= 0x800), starts, dtype=np.int64)
+        distinct, which = distinct_pieces(whole.encode("utf-8"), width.cumsum() - width)
+        first = len(self.words.numbers)
+        numbers = self.words.number(distinct)
+        if len(self.words.numbers) > first:
+            self.add_words(first)
+        ids, at = self.words.ids(numbers[which])
+        at = at[np.searchsorted(starts, chars)]
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def encode_runs(self, texts: list[str]) -> list[np.ndarray]:
+        if self.known.crowded():
+            self.known.forget()
+        first = len(self.known.numbers)
+        numbers = [self.known.number(self.runs(text)) for text in texts]
+        if len(self.known.numbers) > first:
+            self.add_runs(first)
+        return [self.known.ids(index)[0] for index in numbers]
+
+    def encode_whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(self.whole.encode(t, add_special_tokens=False).ids, np.int32) for t in texts]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.numbers) > CACHE:
-            self.forget()
-        known, per_text = len(self.numbers), []
-        for text in texts:
-            runs = self.runs(text)
-            per_text.append(np.fromiter(map(self.numbers.__getitem__, runs), np.int64, len(runs)))
-        if len(self.numbers) > known:
-            self.add(list(islice(self.numbers, known, None)))
-        out = []
-        for index in per_text:
-            size = self.sizes[index]
-            ends = np.cumsum(size)
-            out.append(self.flat[np.repeat(self.starts[index] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)])
+        out: list = [np.zeros(0, np.int32)] * len(texts)
+        plain = plain_characters()
+        way = [
+            None if not t else self.encode_whole if not self.by_words or any(s in t for s in self.specials)
+            else self.encode_plain if plain[np.frombuffer(t.encode("utf-32-le", "replace"), np.uint32)].all() else self.encode_runs
+            for t in texts
+        ]
+        for encode in (self.encode_whole, self.encode_plain, self.encode_runs):
+            some = [i for i, w in enumerate(way) if w == encode]
+            if some:
+                for i, ids in zip(some, encode([texts[i] for i in some]), strict=True):
+                    out[i] = ids
         return out
 
 
 @lru_cache(2)
-def encoder(content: str) -> WordEncoder:
-    return WordEncoder(content)
+def encoder(content: str, special: bool = True) -> WordEncoder:
+    return WordEncoder(content, special)
 
 
-def write(df: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> str:
+def write(df: DataFrame, tokenizer_path: str, path: str | None = None, end_id: int = 2, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), special: bool = True) -> str:
     """Write the ids of df's texts, end_id after each, in ascending order of key; the folder written.
 
-    Texts are dealt by ranges of key once, sorted and encoded on their way into the files; ids are not shuffled.
+    Texts are dealt by ranges of key once, sorted and encoded on their way into the files; ids are not shuffled. With `special` the string of a special token in a text
+    is that token's id (the library's default), without it is ordinary text.
     """
     spark = prepare(df.sparkSession)
     with open(tokenizer_path, encoding="utf-8") as f:
@@ -129,7 +197,7 @@ def write(df: DataFrame, tokenizer_path: str, path: str | None = None, end_id: i
     end = np.array([end_id], np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, first = encoder(content), 0
+        words, first = encoder(content, special), 0
         for batch in batches_by_bytes(batches, "_quill_text"):
             parts = [x for ids in words.encode(texts_of(batch.column("_quill_text"))) for x in (ids, end)]
             sizes = np.fromiter(map(len, parts[::2]), np.int64, batch.num_rows) + 1

@@ -216,8 +216,8 @@ def brute_language(profiles, text):
     number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
     order = sorted(grams, key=lambda g: (-grams[g], number(g)))[: profiles.top]
     best = []
-    for j, name in enumerate(profiles.languages):
-        ranks = {int(k): int(r) for k, r in zip(profiles.keys, profiles.ranks[:-1, j], strict=True) if r >= 0}
+    for name in profiles.languages:
+        ranks = {int(k): r for r, k in enumerate(profiles.rows[name])}
         best.append((sum(abs(ranks[number(g)] - i) if number(g) in ranks else profiles.top for i, g in enumerate(order)), name))
     return min(best)[1]
 
@@ -241,9 +241,72 @@ def test_language_by_rank_order(spark):
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_no_language_is_lost(spark, monkeypatch):
+    """Languages whose rows are copies are learned from their copies, whatever the bound; profiles in parts give the same languages."""
+    rng = random.Random(9)
+    rows = [(i, " ".join(rng.choice(["thin", "gath", "wher"]) + rng.choice(["ough", "ing"]) for _ in range(9)), "aa") for i in range(200)]
+    for name, word in (("bb", "schön"), ("cc", "queleau"), ("dd", "zwrk"), ("ee", "ommalu")):
+        rows += [(1000 * len(rows) + i % 7, f"{word} {word}{word} ", name) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for key in (None, "doc_id"):
+        profiles = langid.learn(docs, key=key, train_rows=5)
+        assert profiles.languages == ["aa", "bb", "cc", "dd", "ee"]
+    whole = langid.learn(docs, key="doc_id")
+    for name in whole.languages:  # the rank order of all n-grams of the language's rows, counted one by one
+        grams: dict = {}
+        for _, text, lang in rows:
+            for word in text.split() if lang == name else []:
+                padded = f" {word} "
+                for n in (1, 2, 3):
+                    for i in range(len(padded) - n + 1):
+                        if padded[i : i + n] != " ":
+                            grams[padded[i : i + n]] = grams.get(padded[i : i + n], 0) + 1
+        number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - i) for i, c in enumerate(g))
+        assert whole.rows[name] == [number(g) for g in sorted(grams, key=lambda g: (-grams[g], number(g)))[: whole.top]]
+    due = sorted((r.doc_id, r.text, r.lang_pred, r.score) for r in langid.predict(docs, whole).collect())
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 2)
+    assert sorted((r.doc_id, r.text, r.lang_pred, r.score) for r in langid.predict(docs, whole).collect()) == due
+    assert all(r.lang_pred == r.lang for r in langid.predict(docs, whole).collect())
+
+
 # Licenses
 
 
+def brute_matched(template, words, at, past):
+    """The most words of a template that match, in order, within a window of the text."""
+    lcs = [0] * (past - at + 1)
+    for a in template:
+        row = [0]
+        for j, b in enumerate(words[at:past]):
+            row.append(lcs[j] + 1 if a == b else max(lcs[j + 1], row[j]))
+        lcs = row
+    return lcs[-1]
+
+
+def test_findings_are_those_of_every_place(spark):
+    """Notices with words changed, dropped and put in: a text has a finding just where brute force over all windows reaches the coverage."""
+    rng = random.Random(13)
+    templates = {"long": " ".join(f"l{i}" for i in range(40)), "short": "released under the mit license", "middle": "this work is licensed under some fine license version three"}
+    rows = []
+    for i in range(120):
+        name = rng.choice(list(templates))
+        words = templates[name].split()
+        for _ in range(rng.randrange(0, len(words) // 3 + 1)):
+            at, how = rng.randrange(len(words)), rng.randrange(3)
+            words[at : at + 1] = [["zz"], [], [words[at], "zz"]][how]
+        rows.append((i, " ".join([*text_of(rng, 12).split(), *words, *text_of(rng, 12).split()])))
+    found = {r.doc_id: {x.license: x.coverage for x in r.licenses} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=templates).collect()}
+    for i, text in rows:
+        words = text.split()
+        for name, template in templates.items():
+            own = template.split()
+            reach = len(own) + 4
+            best = max(brute_matched(own, words, a, min(len(words), a + reach)) for a in range(len(words))) / len(own)
+            assert (name in found[i]) == (best >= 0.8), (name, text)
+            assert name not in found[i] or found[i][name] <= best
+
+
+
 def test_whole_license_texts(spark):
     """Texts and headers with another holder, other line breaks and a few words changed are found as such, with their spans; English that is none is not."""
     rng = random.Random(2)

@@ -39,8 +39,18 @@ def test_long_pieces_merge_alike(text):
     assert OURS.encode_batch([text])[0].tolist() == THEIRS.encode_ordinary(text)
 
 
+def test_lines_of_a_long_piece_merge_alike():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        piece = bytes(rng.choice(list(b"abcdeinst"), size=rng.integers(2, 90)).astype(np.uint8))
+        due = THEIRS.encode_single_token(piece) if piece in THEIRS._mergeable_ranks else None
+        for width in (2, 3, 7, 256):
+            ids = OURS.merge_long(piece, width).tolist()
+            assert ids == THEIRS.encode_ordinary(piece.decode()) or ids == [due]
+
+
 def test_batches_share_what_they_know():
-    OURS.forget()
+    OURS.known_pieces.forget()
     first, second = OURS.encode_batch(TEXTS), OURS.encode_batch(TEXTS[::-1])
     assert [x.tolist() for x in first] == [x.tolist() for x in second[::-1]] == [THEIRS.encode_ordinary(t) for t in TEXTS]
 
@@ -54,21 +64,46 @@ def test_encode_and_decode_tables(spark):
         assert bytes(r.decoded) == (r.text or "").encode()
         assert np.frombuffer(r.ids, "<u4").tolist() == THEIRS.encode_ordinary(r.text or "")
     assert bpe.encode(df.limit(0), RANKS).collect() == []
+    both = bpe.round_trip(df, RANKS)
+    assert both.columns == ["doc_id", "text", "ids", "decoded"] and sorted(map(str, both.collect())) == sorted(str(r) for r in bpe.decode(bpe.encode(df, RANKS), RANKS).select("doc_id", "text", "ids", "decoded").collect())
+    assert bpe.decode(bpe.encode(df, RANKS).selectExpr("if(doc_id = 3, null, ids) AS ids"), RANKS).where("decoded IS NULL").count() == 2
+    assert bpe.round_trip(df.limit(0), RANKS).collect() == []
     with pytest.raises(ValueError, match="vocabulary"):
         OURS.decode(np.array([60_000]))
 
 
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
-LIBRARY = Tokenizer.from_file(WORD_FILE)
-LIBRARY.encode_special_tokens = True
+PLAIN, ORDINARY = Tokenizer.from_file(WORD_FILE), Tokenizer.from_file(WORD_FILE)  # special tokens' strings are their ids, or ordinary text
+ORDINARY.encode_special_tokens = True
 odd = st.sampled_from([*" \n\t.,'JHKİßÉaeisz09*%-_~<|>ΣςΩ日🙂\x1c\x85\u0301\u030c\u0307\u0331\u00a0", "it's", "<|startoftext|>", "<|ENDOFTEXT|>", "word", "Word.", "a,b", ",,", "..."])
 
 
 @settings(max_examples=400, deadline=None)
 @given(st.lists(st.lists(odd, max_size=14).map("".join), min_size=1, max_size=3))
 def test_words_are_those_of_the_library(texts):
-    ours = token_store.encoder(open(WORD_FILE, encoding="utf-8").read()).encode(texts)
-    assert [x.tolist() for x in ours] == [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)]
+    content = open(WORD_FILE, encoding="utf-8").read()
+    for special, library in ((True, PLAIN), (False, ORDINARY)):
+        ours = token_store.encoder(content, special).encode(texts)
+        assert [x.tolist() for x in ours] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+latin = st.sampled_from([*" \n\t\r.,'!?-$%0129aeistvlmdéÉßÀñŒœƒ“”’…—", "'S", "'ll", "it's", "Word", "word.", "..", "12a"])
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.lists(latin, max_size=25).map("".join), min_size=1, max_size=4))
+def test_plain_words_are_those_of_the_library(texts):
+    ours = token_store.encoder(open(WORD_FILE, encoding="utf-8").read())
+    assert all(token_store.plain_characters()[ord(c)] for t in texts for c in t)
+    assert [x.tolist() for x in ours.encode(texts)] == [e.ids for e in PLAIN.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_another_tokenizer_gets_whole_texts():
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    ours = token_store.encoder(open(file, encoding="utf-8").read())
+    texts = ["Hello  World's\n", "", "é 12 <|endoftext|>"]
+    assert not ours.by_words
+    assert [x.tolist() for x in ours.encode(texts)] == [e.ids for e in Tokenizer.from_file(file).encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files(spark, tmp_path):
@@ -76,9 +111,7 @@ def test_token_files(spark, tmp_path):
     rows = [(10 - i, t, "src", 7) for i, t in enumerate(texts)] + [(None, "no id", None, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, tokens int")
     path = token_store.write(df, public_tokenizers.path("word_bpe_49k.json"), str(tmp_path / "out"), keep=("source",))
-    their = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    their.encode_special_tokens = True
-    at = 0
+    their, at = PLAIN, 0
     back = {r.doc_id: r for r in token_store.checksums(token_store.documents(spark, path)).collect()}
     for doc_id, text, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
         ids = [*their.encode(text or "", add_special_tokens=False).ids, 2]
@@ -144,9 +177,11 @@ def test_chat_query_by_hand(spark, tmp_path):
     from quillspark.llm import queries
 
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (1, 2, "assistant", "é</s>"), (2, 5, "system", "")]
+    rows += [(3, 0, "user", "twice"), (3, 0, "user", "twice"), (3, 0, "assistant", "odd"), (3, None, None, None)]
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("seq", F.lit("x")).write.parquet(str(tmp_path / "conversations.parquet"))
     found = {r.conv_id: r for r in queries.op3_chat(spark, str(tmp_path)).collect()}
-    assert set(found) == {1, 2, -7}
+    assert set(found) == {1, 2, 3, -7}
+    assert found[3].n_turns == 4 and found[3].turns_sha256 == hashlib.sha256("\n\nassistant\nodd\nuser\ntwice\nuser\ntwice\n".encode()).hexdigest()
     assert (found[1].n_turns, found[1].loss_chars, found[1].loss_sha256) == (3, 5, hashlib.sha256("é</s>".encode()).hexdigest())
     assert found[1].turns_sha256 == hashlib.sha256("user\na\nassistant\n\nassistant\né</s>\n".encode()).hexdigest()
     assert json.dumps(found[-7].n_turns) == "2"

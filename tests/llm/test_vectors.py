@@ -57,12 +57,49 @@ def test_exact_top(spark, rows):
 def test_lists_stop_early_without_losing_rows():
     rng = np.random.default_rng(2)
     x = np.floor(rng.normal(size=(500, 12)) * 50)
-    ids, lists = np.arange(500), None
+    ids = np.arange(500)
     lists = nra.SortedLists(ids, x)
-    for _ in range(20):
-        query = np.floor(rng.normal(size=12) * 50)
-        scores = x @ query
-        bound = np.sort(scores)[-5]
-        got, values = lists.best(query, -1, 5, float(bound))
-        assert set(np.flatnonzero(scores >= bound)) <= set(got) and np.array_equal(values, scores[got])
-    assert lists.best(np.zeros(12), 3, 5, -np.inf)[0].tolist() == [i for i in range(500) if i != 3]
+    queries = np.floor(rng.normal(size=(20, 12)) * 50)
+    scores = x @ queries.T
+    for bound in (np.full(20, -np.inf), np.sort(scores, 0)[-5]):
+        for i, got in enumerate(lists.best(queries, np.full(20, -1), 5, bound)):
+            assert set(np.flatnonzero(scores[:, i] >= np.sort(scores[:, i])[-5])) <= set(got)
+    steep = np.zeros((500, 12))
+    steep[:, 0] = np.arange(500)
+    reads = []
+    lists = nra.SortedLists(ids, steep)
+    read = lists.read
+    lists.read = lambda depth, *how: reads.append(depth) or read(depth, *how)
+    (got,) = lists.best(np.eye(12)[:1], np.array([499]), 5, np.array([-np.inf]))
+    assert {494, 495, 496, 497, 498} <= set(got) and 499 not in got and max(reads) < 100  # reading stopped
+    assert len(lists.best(np.zeros((1, 12)), np.array([3]), 5, np.array([-np.inf]))[0]) == 499
+
+
+def test_scores_beyond_doubles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = np.floor(rng.normal(size=(60, 4)) * 1e9)
+    x[7] = x[3] + [0, 0, 0, 1]  # differ in the last place only
+    x[11, 0], x[12, 0] = 1e30, -1e300
+    frame_ = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, [1e308, 0.0, 0.0, 0.0])], "vec_id long, embedding array<double>")
+    found = nra.search(frame_, F.col("id") % 10 == 0, k=5, block=25, query_block=4, scale=256.0).collect()
+    whole = [[int(np.floor(256.0 * v)) for v in r] for r in x]
+    for i in range(0, 60, 10):
+        due = sorted(((-sum(a * b for a, b in zip(whole[i], whole[j])), j) for j in range(60) if j != i))[:5]
+        got = [(r.vec_id, r.score) for r in sorted((r for r in found if r.query_id == i), key=lambda r: r["rank"])]
+        assert got == [(j, max(-nra.LONG, min(nra.LONG, -s))) for s, j in due]
+
+
+def test_queries_of_one_id_are_ranked_each(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(rng.normal(size=(40, 8)))] + [(0, [float(v) for v in rng.normal(size=8)])]
+    for search in (ivfpq.search, nra.search):
+        found = search(frame(spark, rows), F.col("id") == 0, k=6).collect()
+        assert sorted(r["rank"] for r in found) == sorted([1, 2, 3, 4, 5, 6] * 2) and all(r.vec_id for r in found)
+
+
+def test_lists_are_probed_until_enough_rows_are_met(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(size=(3, 8)) + 50, rng.normal(size=(400, 8))])  # a list of three rows
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    found = ivfpq.search(frame(spark, rows), F.col("id") < 3, k=20, target=0.01).collect()
+    assert all(sum(r.query_id == i for r in found) == 20 for i in range(3))
