@@ -25,7 +25,7 @@ MIN_LANGUAGE, MIN_QUALITY = 0.15, QUALITY_FLOOR
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = langid.predict(docs, langid.learn(docs), lang="_quill_lang", score="_quill_score")
+    found = langid.predict(docs, langid.learn(docs, key="doc_id"), lang="_quill_lang", score="_quill_score")
     kept = found.where((F.col("_quill_lang") != langid.UNKNOWN) & (F.col("_quill_score") >= MIN_LANGUAGE))
     return kept.select(*(q(c) for c in docs.columns))
 
@@ -47,7 +47,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(BYTE_RANKS)
-    both = bpe.decode(bpe.encode(docs.select("doc_id", "source", "text"), path), path)
+    both = bpe.round_trip(docs.select("doc_id", "source", "text"), path)
     return both.select("doc_id", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))
 
 
