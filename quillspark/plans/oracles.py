@@ -125,17 +125,17 @@ centres AS (SELECT cluster_id, list(round(x, 9) ORDER BY i) AS centre FROM means
 far AS (SELECT vec_id, cluster_id, round(list_sum(list_transform(list_zip(centre, embedding), lambda p: (p[1] - CAST(p[2] AS DOUBLE)) * (p[1] - CAST(p[2] AS DOUBLE)))), 9) AS d FROM embeddings CROSS JOIN centres),
 assigned AS (SELECT vec_id, cluster_id FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, cluster_id) AS r FROM far) WHERE r = 1)"""
 COSINE = "list_dot_product(CAST({0} AS DOUBLE[]), CAST({1} AS DOUBLE[])) / (sqrt(list_dot_product(CAST({0} AS DOUBLE[]), CAST({0} AS DOUBLE[]))) * sqrt(list_dot_product(CAST({1} AS DOUBLE[]), CAST({1} AS DOUBLE[]))))"
-NEAR = """near AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b USING (label))
+NEAR = """near AS (SELECT * FROM (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a CROSS JOIN embeddings b)
     QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 10)"""
 DRAFTS = f"""lines AS (
-    SELECT conv_id, turn, substring({snippet('text', 60)}, 1, 60) || CASE WHEN turn % 2 = 0 THEN '[^' || turn || ']' ELSE '' END AS line FROM conversations
+    SELECT conv_id, turn, regexp_replace({stripped('text')}, '^(##\\s)', ' \\1', 'gm') || CASE WHEN turn % 2 = 0 THEN '[^' || turn || ']' ELSE '' END AS line FROM conversations
 ), sentences AS (
     SELECT conv_id, turn, unnest(string_split(line, chr(10))) AS line FROM lines
 ), judged_drafts AS (
     SELECT conv_id, CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^')) AS INTEGER) AS total_sentences,
-        CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^') AND turn % 2 = 0) AS INTEGER) AS cited_sentences, bool_or(turn % 2 = 0) AS has_notes,
-        coalesce(array_to_string(list(turn ORDER BY turn) FILTER (turn % 4 = 2), ','), '') AS orphan_footnotes,
-        coalesce(array_to_string(list('c' || turn ORDER BY 'c' || turn) FILTER (turn % 4 = 0 AND turn NOT IN (0, 8)), ','), '') AS invalid_refs
+        CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^') AND regexp_matches(line, '\[\^[0-9]+\]')) AS INTEGER) AS cited_sentences, bool_or(turn % 2 = 0) AS has_notes,
+        coalesce(array_to_string(list(DISTINCT turn ORDER BY turn) FILTER (turn % 4 = 2), ','), '') AS orphan_footnotes,
+        coalesce(array_to_string(list(DISTINCT 'c' || turn ORDER BY 'c' || turn) FILTER (turn % 4 = 0 AND turn NOT IN (0, 8)), ','), '') AS invalid_refs
     FROM sentences GROUP BY conv_id
 ), attributed AS (
     SELECT conv_id, CASE WHEN has_notes THEN total_sentences ELSE 0 END AS total_sentences, CASE WHEN has_notes THEN cited_sentences ELSE 0 END AS cited_sentences,
@@ -206,7 +206,10 @@ SQL: dict[str, str] = {
         {audit_part('Shadowed links', 'shadowed', "'- `' || source || '` → `' || target_raw || '` (candidates: `' || replace(candidates, ', ', '`, `') || '`)'", 'source, target_raw')} AS report""",
     "similar_pairs": f"""WITH {NEAR}, pairs AS (SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, arg_min(score, query_id) AS retrieval_score FROM near WHERE query_id <> vec_id GROUP BY ALL)
         SELECT a, b, retrieval_score FROM pairs JOIN embeddings x ON x.vec_id = a JOIN embeddings y ON y.vec_id = b WHERE a // 4 <> b // 4 AND {COSINE.format('x.embedding', 'y.embedding')} <= 0.95""",
-    "near_duplicate_pairs": f"WITH {NEAR} SELECT DISTINCT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, score FROM near WHERE query_id <> vec_id AND score > 0.4",
+    "near_duplicate_pairs": """WITH x AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+        every AS (SELECT vec_id, v FROM x UNION ALL SELECT -1 - vec_id, list_transform(v, lambda e, i: e * (CASE WHEN i % 2 = 1 THEN 0.9 ELSE 1.1 END)) FROM x),
+        unit AS (SELECT vec_id, list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS v FROM every)
+        SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.v, b.v), 6) AS score FROM unit a JOIN unit b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) > 0.95""",
     "cluster_assign": f"WITH {CENTRES} SELECT * FROM assigned",
     "cluster_sizes": f"WITH {CENTRES} SELECT cluster_id, count(*) AS size, array_to_string(list(vec_id ORDER BY vec_id), ',') AS members FROM assigned GROUP BY cluster_id HAVING count(*) >= 3 ORDER BY size DESC, cluster_id LIMIT 30",
     "gap_mock": """WITH sizes AS (SELECT label AS cluster_id, count(*) AS cluster_size, list(vec_id ORDER BY vec_id) AS members FROM embeddings GROUP BY label HAVING count(*) >= 3 ORDER BY 2 DESC, 1 LIMIT 30)
@@ -241,9 +244,6 @@ SQL: dict[str, str] = {
     "attribution": f"WITH {DRAFTS} SELECT * FROM attributed",
     "answer_strength": f"""WITH {DRAFTS}, graded AS (SELECT CASE WHEN total_sentences < 2 THEN 'e' WHEN orphan_footnotes <> '' OR invalid_refs <> '' OR attribution_rate < 0.5 THEN 't' ELSE 's' END AS g FROM attributed)
         SELECT count(*) AS drafts, count(*) FILTER (g = 's') AS strong, count(*) FILTER (g = 't') AS thin, count(*) FILTER (g = 'e') AS external_research FROM graded""",
-    "substring_match": f"""WITH a AS (SELECT item_id, {content_words('text')} AS x FROM benchmark), heads AS (SELECT doc_id, {snippet('text', 200)} AS head FROM documents), b AS (SELECT doc_id, {content_words('head')} AS y FROM heads),
-        r AS (SELECT item_id, doc_id, len(list_intersect(x, y)) / greatest(len(x), len(y), 1) AS ratio FROM a CROSS JOIN b)
-        SELECT item_id, doc_id, CASE WHEN ratio >= 0.8 THEN 5 WHEN ratio >= 0.5 THEN 4 ELSE 3 END AS score FROM r WHERE ratio >= 0.25""",
     "prf_metrics": f"""WITH {JUDGED}, c AS (SELECT source, count(*) FILTER (guess = 0 AND quality = 0) AS tp, count(*) FILTER (guess = 0 AND quality = 1) AS fp, count(*) FILTER (guess = 1 AND quality = 0) AS fn FROM judged GROUP BY source) SELECT *, {PRF} FROM c""",
     "confusion_matrix": f"WITH {JUDGED} SELECT quality, count(*) FILTER (guess = 0) AS predicted_0, count(*) FILTER (guess = 1) AS predicted_1 FROM judged GROUP BY quality",
     "qwk": """WITH r AS (SELECT CAST(floor(((value % 5) + 5) % 5) + 1 AS INTEGER) AS g, CAST(floor((((value + event_id % 3 * 0.5) % 5) + 5) % 5) + 1 AS INTEGER) AS p FROM events WHERE value IS NOT NULL),

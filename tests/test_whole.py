@@ -3,6 +3,7 @@
 import numpy as np
 
 from quillspark import catalog
+from quillspark.functions import text as t
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -12,9 +13,13 @@ def test_pairs_across_labels_without_a_cap(spark, tmp_path):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     spark.createDataFrame([(i, v.tolist(), i % 7) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     s = np.round(x @ x.T, 6)
-    due = {(a, b) for a in range(60) for b in range(a + 1, 60) if s[a, b] > 0.4}
+    both = np.concatenate([x, x * np.where(np.arange(16) % 2 == 0, 0.9, 1.1)])  # near_duplicate_pairs adds a near copy of each row
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    ids = [*range(60), *(-1 - i for i in range(60))]
+    due = {(ids[a], ids[b]) for a in range(120) for b in range(120) if ids[a] < ids[b] and both[a] @ both[b] > 0.95}
     found = catalog.queries()["near_duplicate_pairs"](spark, str(tmp_path)).collect()
-    assert len(found) == len(due) and {(r.a, r.b) for r in found} == due
+    assert len(found) == len(due) > 60 and {(r.a, r.b) for r in found} == due
+    assert sum(-1 in pair for pair in due) > 10  # more partners than a row has neighbours
     near = {tuple(sorted((i, j))) for i in range(60) for j in np.lexsort((np.arange(60), -s[i]))[:10].tolist() if i != j}
     due = {(a, b) for a, b in near if a // 4 != b // 4 and x[a] @ x[b] <= 0.95}
     assert {(r.a, r.b) for r in catalog.queries()["similar_pairs"](spark, str(tmp_path)).collect()} == due
@@ -30,6 +35,28 @@ def test_passages_are_found_anywhere(spark, tmp_path):
     assert {tuple(r) for r in catalog.queries()["substring_match"](spark, str(tmp_path)).select("item_id", "doc_id", "score").collect()} == {(1, 1, 5), (1, 3, 3), (1, 4, 5), (2, 6, 5)}
 
 
+def test_passage_scores_are_those_of_every_run(spark, tmp_path):
+    """Brute force: each passage against each run of as many words, by shared content words of the larger set."""
+    rng = np.random.default_rng(8)
+    words = [*(f"word{i}" for i in range(12)), "the", "of", "Alpha.", "beta,", "is"]
+    line = lambda n: " ".join(rng.choice(words, n))
+    items, docs = [(i, line(int(rng.integers(3, 9)))) for i in range(6)], [(i, line(int(rng.integers(0, 40)))) for i in range(12)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    plain = lambda text: [w for w in "".join(c for c in text.lower() if c not in "?.,").split()]
+    content = lambda ws: {w for w in ws if len(w) >= 3 and w not in t.STOPWORDS}
+    due = set()
+    for i, item in items:
+        asked, size = content(plain(item)), len(plain(item))
+        for d, text in docs:
+            own = plain(text)
+            runs = [content(own[at : at + size]) for at in range(max(1, len(own) - size + 1))]
+            best = max((len(asked & run) / max(len(asked), len(run)) for run in runs if asked and run), default=0)
+            if best >= 0.25:
+                due.add((i, d, 5 if best >= 0.8 else 4 if best >= 0.5 else 3))
+    assert {tuple(r) for r in catalog.queries()["substring_match"](spark, str(tmp_path)).select("item_id", "doc_id", "score").collect()} == due
+
+
 def test_drafts_hold_whole_turns(spark, tmp_path):
     long = "word " * 40
     turns = [(1, 0, f"{long}end\nsecond line [^3]\n## third\nlast"), (1, 1, f"{long}\n\n{long}"), (2, 1, long + "[^7] more")]
