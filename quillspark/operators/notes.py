@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,7 +90,7 @@ def sentences_of(text: str) -> list[str]:
     return [s for s in GAP.split(text) if s.strip()]
 
 
-def pack(section: str, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, overlap: float = OVERLAP) -> list[tuple[str, int, int, int]]:
+def pack(section: str, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, overlap: float = OVERLAP, count_tokens: Callable[[str], int] = count_tokens) -> list[tuple[str, int, int, int]]:
     """(text, start, end, tokens) of the chunks of one section.
 
     Paragraphs over the budget fall apart into sentences. Units are gathered until the next would break the budget; a buffer under `least` tokens
@@ -136,16 +136,17 @@ def pack(section: str, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, ove
     return out
 
 
-def chunks(notes: DataFrame, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, overlap: float = OVERLAP) -> DataFrame:
+def chunks(notes: DataFrame, target: int = TARGET_TOKENS, least: int = MIN_TOKENS, overlap: float = OVERLAP, count: Callable[[str], int] = count_tokens) -> DataFrame:
     """[F10, F11, W1] The chunks of each note: ids and hashes, heading path, text, tokens, offsets. Packing is a fold over a section's units, which
-    runs on Arrow batches; all else is in the JVM."""
+    runs on Arrow batches; all else is in the JVM. count: the tokens of a text, by any vocabulary (by default words and signs).
+    """
     kind = "array<struct<text:string,start:int,stop:int,token_count:int>>"
     arrow = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("token_count", pa.int32())]))
 
     @F.arrow_udf(kind)
     def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([[dict(zip(("text", "start", "stop", "token_count"), c, strict=True)) for c in pack(s or "", target, least, overlap)] for s in batch.to_pylist()], arrow)
+            yield pa.array([[dict(zip(("text", "start", "stop", "token_count"), c, strict=True)) for c in pack(s or "", target, least, overlap, count)] for s in batch.to_pylist()], arrow)
 
     rows = sections(notes).withColumn("found", packed(F.col("section")))
     rows = rows.select("source_rel", "section_index", "heading_path", "char_start", F.posexplode("found").alias("i", "c"))

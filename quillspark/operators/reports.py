@@ -50,6 +50,18 @@ def as_json(rows: DataFrame, order: list[str], **facts: object) -> DataFrame:
     return whole.select(F.to_json(F.struct(*(fields[k].alias(k) for k in sorted(fields))), {"ignoreNullFields": "false"}).alias("report"))
 
 
+def answer_markdown(drafts: DataFrame, order: str, body: str = "body") -> DataFrame:
+    """[K7] One row: the stubs in order, with a rule between them."""
+    whole = drafts.agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col(body).alias("b")))).alias("all"))
+    return whole.select(F.array_join(F.transform("all", lambda x: F.regexp_replace(x.b, r"\s+\z", "")), "\n\n---\n\n").alias("report"))
+
+
+def answer_json(drafts: DataFrame, order: str, **facts: object) -> DataFrame:
+    """[K7] as_json() with real numbers to four places."""
+    real = [f.name for f in drafts.schema.fields if f.dataType.typeName() in ("double", "float")]
+    return as_json(drafts.withColumns({n: F.round(F.col(n), 4) for n in real}), [order], **facts)
+
+
 def results_text(ranked: DataFrame, items: DataFrame, key: str, source: str, heading: str, text: str) -> DataFrame:
     """[K11] (query_id, report): ranked results with their places and snippets."""
     rows = ranked.join(items.select(key, source, heading, text), key)

@@ -5,7 +5,7 @@ Every top-k is a window by query; Spark keeps only k rows of each query in a tas
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,22 +124,25 @@ def rerank(ranked: DataFrame, items: DataFrame, queries: DataFrame, key: str, te
     return top(scored, k, [F.desc("score"), F.col("before")]).select("query_id", key, "rank", "score")
 
 
-def hybrid(items: DataFrame, queries: DataFrame, key: str, text: str = "text", each: int = EACH, k: int = TOP) -> DataFrame:
-    """[C2, T3] BM25 and dense search over hashed vectors, fused."""
-    vectors = embedded(items.select(key, text), text)
-    asked = embedded(queries, "query", "query_vector").select("query_id", "query_vector")
+def asked_vectors(queries: DataFrame, embed: Callable[[DataFrame, str, str], DataFrame] = embedded, prefix: str = "") -> DataFrame:
+    """[V2] (query_id, query_vector) of queries, each with the prefix that its model wants (QUERY_PREFIX, say)."""
+    return embed(queries.withColumn("query", F.concat(F.lit(prefix), "query")) if prefix else queries, "query", "query_vector").select("query_id", "query_vector")
+
+
+def hybrid(items: DataFrame, queries: DataFrame, key: str, text: str = "text", each: int = EACH, k: int = TOP, embed: Callable[[DataFrame, str, str], DataFrame] = embedded, prefix: str = "") -> DataFrame:
+    """[C2, T3] BM25 and dense search, fused. embed: a model, from (table, text column, new column) to the table with vectors of unit length."""
+    vectors, asked = embed(items.select(key, text), text, "vector"), asked_vectors(queries, embed, prefix)
     return fuse(dense(vectors, asked, key, k=each), bm25(items, queries, key, text, each), key, k)
 
 
-def search(items: DataFrame, queries: DataFrame, key: str, text: str = "text", mode: str = "rerank", k: int = TOP) -> DataFrame:
-    """[C2] A query in one of the modes bm25, dense, hybrid, rerank."""
+def search(items: DataFrame, queries: DataFrame, key: str, text: str = "text", mode: str = "rerank", k: int = TOP, embed: Callable[[DataFrame, str, str], DataFrame] = embedded, prefix: str = "", score=lexical_score) -> DataFrame:
+    """[C2] A query in one of the modes bm25, dense, hybrid, rerank. embed, prefix and score take models (V1, V2, V4)."""
     if mode == "bm25":
         return bm25(items, queries, key, text, k).select("query_id", key, "rank", "score")
     if mode == "dense":
-        asked = embedded(queries, "query", "query_vector").select("query_id", "query_vector")
-        return dense(embedded(items.select(key, text), text), asked, key, k=k).select("query_id", key, "rank", "score")
+        return dense(embed(items.select(key, text), text, "vector"), asked_vectors(queries, embed, prefix), key, k=k).select("query_id", key, "rank", "score")
     if mode == "hybrid":
-        return hybrid(items, queries, key, text, k=k)
+        return hybrid(items, queries, key, text, k=k, embed=embed, prefix=prefix)
     if mode == "rerank":
-        return rerank(hybrid(items, queries, key, text, k=FUSED), items, queries, key, text, k=k)
+        return rerank(hybrid(items, queries, key, text, k=FUSED, embed=embed, prefix=prefix), items, queries, key, text, k=k, score=score)
     raise ValueError(f"unknown mode {mode}")

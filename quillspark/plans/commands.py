@@ -24,19 +24,19 @@ def sampled(rows: DataFrame, n: int | None, *order: str) -> DataFrame:
     return rows if check_sample(n) is None else rows.orderBy(*order).limit(n)
 
 
-def ingest(spark: SparkSession, root: str, table: ChunkTable) -> DataFrame:
-    """[C1] Read, cut, embed and store a vault anew; the counters."""
+def ingest(spark: SparkSession, root: str, table: ChunkTable, embed: Callable = retrieval.embedded, count: Callable[[str], int] = notes.count_tokens) -> DataFrame:
+    """[C1] Read, cut, embed and store a vault anew; the counters. embed and count take a model's vectors (V1) and a vocabulary's token count (F9)."""
     parsed = notes.frontmatter_maps(notes.parse_notes(read_vault(spark, root)))
-    chunks = notes.chunks(parsed)
-    rows = retrieval.embedded(chunks, "text").withColumn("heading_path", F.array_join("heading_path", " > "))
+    chunks = notes.chunks(parsed, count=count)
+    rows = embed(chunks, "text", "vector").withColumn("heading_path", F.array_join("heading_path", " > "))
     table.rebuild(rows)
     return notes.ingest_report(parsed, table.read())
 
 
-def query(spark: SparkSession, table: ChunkTable, text: str, mode: str = "rerank", k: int = retrieval.TOP) -> DataFrame:
-    """[C2] The best chunks for a question."""
+def query(spark: SparkSession, table: ChunkTable, text: str, mode: str = "rerank", k: int = retrieval.TOP, **models) -> DataFrame:
+    """[C2] The best chunks for a question. models: embed, prefix and score of retrieval.search()."""
     asked = spark.createDataFrame([(0, text)], "query_id long, query string")
-    found = retrieval.search(table.read().select("chunk_id", "text"), asked, "chunk_id", mode=mode, k=k)
+    found = retrieval.search(table.read().select("chunk_id", "text"), asked, "chunk_id", mode=mode, k=k, **models)
     return found.join(table.read().select("chunk_id", "source_rel", "heading_path", "text"), "chunk_id").drop("query_id").orderBy("rank")
 
 

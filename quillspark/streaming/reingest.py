@@ -13,9 +13,11 @@ from ..operators.store import ChunkTable
 
 def changed_notes(spark: SparkSession, root: str, per_batch: int = 1000) -> DataFrame:
     """(source_rel, raw) of files below root as they appear or change."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)  # relative roots and such with a scheme come as whole paths in a file's metadata
+    base = path.getFileSystem(spark._jsc.hadoopConfiguration()).resolvePath(path).toUri().getPath().rstrip("/")
     rows = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("maxFilesPerTrigger", per_batch).text(root, wholetext=True)
     place = F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", r"^[a-zA-Z][a-zA-Z0-9+.-]*:(//[^/]*)?", ""), r"\+", "%2B"))
-    return rows.select(t.relative_path(place, root).alias("source_rel"), t.read_text(F.col("value")).alias("raw"))
+    return rows.select(t.relative_path(place, base).alias("source_rel"), t.read_text(F.col("value")).alias("raw"))
 
 
 def write_batch(table: ChunkTable, batch: DataFrame) -> None:
