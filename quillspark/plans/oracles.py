@@ -133,7 +133,7 @@ DRAFTS = f"""lines AS (
     SELECT conv_id, turn, unnest(string_split(line, chr(10))) AS line FROM lines
 ), judged_drafts AS (
     SELECT conv_id, CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^')) AS INTEGER) AS total_sentences,
-        CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^') AND regexp_matches(line, '\[\^[0-9]+\]')) AS INTEGER) AS cited_sentences, bool_or(turn % 2 = 0) AS has_notes,
+        CAST(count(*) FILTER ({stripped('line')} <> '' AND NOT starts_with({stripped('line')}, '[^') AND regexp_matches(line, '\\[\\^[0-9]+\\]')) AS INTEGER) AS cited_sentences, bool_or(turn % 2 = 0) AS has_notes,
         coalesce(array_to_string(list(DISTINCT turn ORDER BY turn) FILTER (turn % 4 = 2), ','), '') AS orphan_footnotes,
         coalesce(array_to_string(list(DISTINCT 'c' || turn ORDER BY 'c' || turn) FILTER (turn % 4 = 0 AND turn NOT IN (0, 8)), ','), '') AS invalid_refs
     FROM sentences GROUP BY conv_id
