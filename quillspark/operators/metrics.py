@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
 
+#: Items that a document's text meets at a time.
+BLOCK = 256
+
 
 def precision_recall(rows: DataFrame, found: Column, gold: Column, by: list[str] | None = None) -> DataFrame:
     """[A14, A22] tp, fp, fn, precision, recall and f1 of a condition against the true one, by group if asked for."""
@@ -115,45 +119,64 @@ def ratio_score(r: Column) -> Column:
     return F.when(r >= 0.8, 5).when(r >= 0.5, 4).when(r >= 0.25, 3).when(r >= 0.1, 2).otherwise(1)
 
 
-def best_ratio(asked: Column, size: Column, words: Column) -> Column:
-    """[A23] The largest overlap_ratio of a set of content words (asked) with any run of `size` words of a text, or with all if it has fewer.
-    words: the text's words in order, null for those that are not content words."""
+def windows(first: np.ndarray, before: np.ndarray, width: int, n: int) -> np.ndarray:
+    """For each run of `width` places among n (of all, if fewer), how many different words it holds: a word counts where it stands first in the run.
+    first: the places of the words that count, in order; before: the place of the same word before each, -1 without one."""
+    runs = max(n - width, 0) + 1
+    low, high = np.maximum(before, first - width) + 1, np.minimum(first + 1, runs)
+    low = np.minimum(low, high)
+    return np.cumsum(np.bincount(low, minlength=runs + 1) - np.bincount(high, minlength=runs + 1))[:runs]
+
+
+def best_ratios(asked: Column, sizes: Column, words: Column) -> Column:
+    """[A23] For each of several sets of content words (asked) the largest overlap_ratio with any run of its `sizes` words of a text, or with all if it has
+    fewer. words: the text's words in order, null for those that are not content words. A text is coded once for all sets."""
 
-    @F.arrow_udf("double")
+    @F.arrow_udf("array<double>")
     def best(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for wanted, widths, lines in batches:
             out = []
-            for want, width, line in zip(*(x.to_pylist() for x in batch), strict=True):
-                want, held, shared, top = set(want), Counter(), 0, 0.0
-                for i, word in enumerate(line):
-                    if word is not None:
-                        held[word] += 1
-                        shared += held[word] == 1 and word in want
-                    gone = line[i - width] if i >= width else None
-                    if gone is not None:
-                        held[gone] -= 1
-                        if not held[gone]:
-                            del held[gone]
-                            shared -= gone in want
-                    if shared and (i >= width - 1 or i == len(line) - 1):
-                        top = max(top, shared / max(len(want), len(held)))
-                out.append(top)
-            yield pa.array(out, pa.float64())
-
-    return best(asked, size, words)
+            for i in range(len(lines)):
+                coded = lines[i].values.dictionary_encode()
+                codes = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                n, held = len(codes), {}
+                place = np.flatnonzero(codes >= 0)
+                by = place[np.argsort(codes[place], kind="stable")]
+                before = np.full(n, -1)
+                same = codes[by[1:]] == codes[by[:-1]]
+                before[by[1:][same]] = by[:-1][same]
+                scores = []
+                for want, width in zip(wanted[i].values, widths[i].values.to_pylist(), strict=True):
+                    if width not in held:
+                        held[width] = windows(place, before[place], width, n)
+                    known = pc.drop_null(pc.index_in(want.values, coded.dictionary)).to_numpy(zero_copy_only=False)
+                    mine = place[np.isin(codes[place], known)]
+                    shared = windows(mine, before[mine], width, n)
+                    scores.append(float((shared / np.maximum(np.maximum(held[width], len(want.values)), 1)).max()))
+                out.append(scores)
+            yield pa.array(out, pa.list_(pa.float64()))
+
+    return best(asked, sizes, words)
 
 
 def passage_scores(items: DataFrame, docs: DataFrame, item: str, doc: str, text: str = "text") -> DataFrame:
     """[V20, A23] (item, doc, score): the score of an item's text with the run of as many words of a document that is most like it, for those that reach 3.
 
-    A run that reaches 3 holds a quarter of the item's content words, so the document does: that is counted by a join, the rest is aligned.
+    A run that reaches 3 holds a quarter of the item's content words, so the document does: that is counted by a join, the rest is aligned. A document's text
+    meets the items that are left in blocks of about BLOCK, so it travels once for each block.
     """
     asked = items.select(item, t.content_words(F.col(text)).alias("asked"), F.size(t.plain_words(F.col(text))).alias("size"))
     words = docs.select(doc, F.explode(t.content_words(F.col(text))).alias("word"))
     met = words.join(asked.select(item, F.size("asked").alias("n"), F.explode("asked").alias("word")), "word").groupBy(item, doc, "n").agg(F.count("*").alias("both"))
-    rows = met.where("both >= 0.25 * n").select(item, doc).join(asked, item).join(docs.select(doc, F.col(text).alias("_text")), doc)
+    blocks = max(1, -(-items.count() // BLOCK))
+    left = met.where("both >= 0.25 * n").select(item, doc).join(asked, item).withColumn("_block", F.pmod(F.xxhash64(item), F.lit(blocks)))
+    few = left.groupBy(doc, "_block").agg(F.collect_list(F.struct(item, "asked", "size")).alias("_items"))
+    rows = few.join(docs.select(doc, F.col(text).alias("_text")), doc)
     line = F.transform(t.plain_words(F.col("_text")), lambda w: F.when(t.is_content_word(w), w))
-    return rows.select(item, doc, ratio_score(best_ratio(F.col("asked"), F.col("size"), line)).alias("score")).where("score >= 3")
+    each = lambda name: F.transform("_items", lambda x: x[name])
+    best = rows.select(doc, each(item).alias("_ids"), best_ratios(each("asked"), each("size"), line).alias("_best"))
+    both = best.select(doc, F.explode(F.arrays_zip("_ids", "_best")).alias("x"))
+    return both.select(F.col("x._ids").alias(item), doc, ratio_score(F.col("x._best")).alias("score")).where("score >= 3")
 
 
 def hits_at_k(ranked: DataFrame, expected: DataFrame, k: int = 5) -> DataFrame:
