@@ -30,11 +30,11 @@ def top(rows: DataFrame, k: int, order: list[Column], by: str = "query_id") -> D
 
 
 def postings(items: DataFrame, key: str, text: str) -> DataFrame:
-    """[K3] (term, key, tf, length): the lexical index. Terms are counted within each text, so nothing is shuffled."""
+    """[K3] (term, key, tf, length): the lexical index. A text without terms has one row with a null term, so that lengths cover every text."""
     words = t.terms(F.col(text))
     rows = items.select(F.col(key), words.alias("w"))
-    rows = rows.select(key, F.size("w").alias("length"), F.explode("w").alias("term"))
-    return rows.groupBy("term", key, "length").agg(F.count("*").alias("tf"))
+    rows = rows.select(key, F.size("w").alias("length"), F.explode_outer("w").alias("term"))
+    return rows.groupBy("term", key, "length").agg(F.count("term").alias("tf"))
 
 
 def bm25(items: DataFrame, queries: DataFrame, key: str, text: str = "text", k: int = EACH, index: DataFrame | None = None) -> DataFrame:
