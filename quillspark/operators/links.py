@@ -65,11 +65,11 @@ def degrees(notes: DataFrame, links_: DataFrame) -> DataFrame:
 
 
 def audit(notes: DataFrame, only: tuple[str, ...] = ("broken", "one-way", "orphan", "shadowed")) -> DataFrame:
-    """[C3, P1, T2] All findings as (defect, source, target, detail); orphans have no target. The links are found once for all four."""
+    """[C3, P1, T2] All findings as (defect, source, target, detail); orphans have no target. The classes share one plan of links, whose shuffles are reused."""
     unknown = set(only) - {"broken", "one-way", "orphan", "shadowed"}
     if unknown:
         raise ValueError(f"unknown class {sorted(unknown)[0]}")
-    found = links(notes).persist()
+    found = links(notes)
     none = F.lit(None).cast("string")
     parts = {
         "broken": broken(found).select("source", F.col("target_raw").alias("target"), F.when(F.col("is_embed"), "embed").otherwise("link").alias("detail")),

@@ -31,7 +31,9 @@ def merge(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 class ChunkTable:
-    """A folder with a subfolder for each version: a write makes the next one and then the old ones go, so a reader never sees half of one."""
+    """A folder with a subfolder for each version: a write makes the next one, so a reader never sees half of one. The KEPT versions before it stay for those that still read them."""
+
+    KEPT = 2
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -51,7 +53,7 @@ class ChunkTable:
     def _write(self, rows: DataFrame) -> None:
         versions = self._versions()
         rows.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA)).write.mode("overwrite").parquet(f"{self.path}/v{(versions or [0])[-1] + 1}")
-        for v in versions:
+        for v in versions[: -self.KEPT]:
             self.fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{v}"), True)
 
     def upsert(self, rows: DataFrame) -> int:
