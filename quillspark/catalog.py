@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import oracles, queries as registered
+from .plans import judged_sql, oracles
+from .plans.judged import QUERIES
 from .session import prepare
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir) for name, f in registered.QUERIES.items()}
+    return {name: lambda spark, sf_dir, f=f: f(prepare(spark), sf_dir) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(oracles.SQL)
+    return oracles.SQL | judged_sql.SQL

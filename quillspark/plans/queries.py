@@ -49,7 +49,7 @@ def bm25_topk(spark, sf_dir):
 @query
 def bm25_index(spark, sf_dir):
     """The lexical index, by term: document frequency and occurrences."""
-    return retrieval.postings(documents(spark, sf_dir), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
+    return retrieval.postings(documents(spark, sf_dir), "doc_id", "text").where("term IS NOT NULL").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("occurrences"))
 
 
 @query
@@ -335,8 +335,9 @@ def revision_pairs(spark, sf_dir):
 
 @query
 def noise_filters(spark, sf_dir):
-    """Passages against variants of themselves: other case and signs, words turned round, one character more, another passage."""
-    b = table(spark, sf_dir, "benchmark").select("item_id", "text", F.lead("text").over(Window.orderBy("item_id")).alias("next"))
+    """Passages against variants of themselves: other case and signs, words turned round, one character more, the next passage by number."""
+    b = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    b = b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("next")), "item_id", "left")
     rows = b.select("item_id", "text", F.posexplode(F.array(F.concat(F.translate("text", ascii_lowercase, ascii_uppercase), F.lit("!?")), F.array_join(F.reverse(F.split("text", " ")), " "), F.concat("text", F.lit("x")), F.col("next"))).alias("variant", "other")).where("other IS NOT NULL")
     x, y = t.normalised(F.col("text")), t.normalised(F.col("other"))
     return rows.select("item_id", "variant", claims.edit_distance(x, y).alias("distance"), claims.is_noise(F.col("text"), F.col("other")).alias("is_noise"))

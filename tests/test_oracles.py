@@ -46,4 +46,4 @@ def test_query_matches_sql(spark, oracle, name):
 
 
 def test_only_these_have_no_sql():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"chunk_pack", "frontmatter_yaml", "ingest_report", "kmeans_clusters", "substring_match"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"chunk_pack", "ingest_report", "kmeans_clusters", "substring_match"}
