@@ -3,8 +3,9 @@
 The index is fitted on a bounded sample (TRAIN vectors with the smallest hash of their id): k-means centroids, then for each of PARTS slices of a
 vector a codebook of 256 for what the centroid leaves. Every row is indexed: its list and a byte per slice. A query probes the lists
 whose centroids have the largest inner product with it, and more of them until they hold as many rows as it asks for; tables of its inner products with all codes give each row's approximate score
-(asymmetric distance); the best RERANK rows of each block, with all ties, are scored exactly in double precision, ties to the smaller id.
-How many lists to probe is measured on the sample: the fewest that hold TARGET of the true neighbours of PROBE_QUERIES of its members, by brute force.
+(asymmetric distance); the best RERANK rows of each block are scored exactly in double precision, and so is every other row whose approximate score and
+greatest error (what its codes leave of it, as long as the query) reach the k-th of those: of the rows of probed lists none is lost. Ties to the smaller id.
+How many lists to probe is measured on the table: the fewest that hold TARGET of the true neighbours, among all rows, of PROBE_QUERIES of its queries, by brute force.
 
 Lists are packed into blocks of at most BLOCK rows (a list that holds more, like that of one very common vector, is split), queries into blocks of QUERY_BLOCK;
 a task has one block of each. So no task grows with a list, and memory is bounded by a block.
@@ -61,7 +62,7 @@ def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 class Index:
     """Centroids, codebooks and the number of lists to probe."""
 
-    def __init__(self, sample: np.ndarray, rows: int, k: int, parts: int = PARTS, target: float = TARGET):
+    def __init__(self, sample: np.ndarray, rows: int, parts: int = PARTS):
         rng = np.random.default_rng(7)
         lists = int(np.clip(round(rows**0.5), 1, MAX_LISTS))
         self.centres = kmeans(sample, min(lists, max(1, len(sample) // 8)), 10, rng)
@@ -69,13 +70,13 @@ class Index:
         rest = sample - self.centres[nearest(sample, self.centres)]
         rest = rest[rng.permutation(len(rest))[:BOOK_TRAIN]]
         self.books = [kmeans(rest[:, s], CODES, 6, rng) for s in self.slices]
-        sample = np.unique(sample, axis=0)  # else a very common vector answers for all
-        asked = sample[rng.choice(len(sample), min(PROBE_QUERIES, len(sample)), replace=False)]
-        own, order = nearest(sample, self.centres), np.argsort(-(asked @ self.centres.T), axis=1, kind="stable")
-        place = np.empty_like(order)
-        place[np.arange(len(asked))[:, None], order] = np.arange(order.shape[1])
-        best = np.argsort(-(asked @ sample.T), axis=1, kind="stable")[:, 1 : k + 1]
-        deep = place[np.arange(len(asked))[:, None], own[best]].ravel()
+        self.probes = len(self.centres)
+
+    def measure(self, asked: np.ndarray, found: list[np.ndarray], target: float) -> None:
+        """Probe the fewest lists that hold the target of true neighbours. found: the lists of those of each row of asked."""
+        order = np.argsort(-(asked @ self.centres.T), axis=1, kind="stable")
+        place = np.argsort(order, axis=1, kind="stable")
+        deep = np.concatenate([place[i, lists] for i, lists in enumerate(found)]) if found else np.zeros(0, int)
         self.probes = int(np.quantile(deep, target, method="higher")) + 1 if len(deep) else len(self.centres)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -96,6 +97,10 @@ class Index:
         flat = codes + np.arange(codes.shape[1]) * CODES
         start, past = (np.searchsorted(lists, np.arange(len(self.centres)), side) for side in ("left", "right"))
         near = queries @ self.centres.T
+        coded = self.centres[lists]
+        for m, (s, b) in enumerate(zip(self.slices, self.books, strict=True)):
+            coded[:, s] += b[codes[:, m]]
+        error = np.sqrt(((vectors - coded) ** 2).sum(1)) + 1e-9 * np.sqrt((vectors**2).sum(1))  # and that of adding up
         out = []
         for i, x in enumerate(queries):
             lists_here = probed[i][past[probed[i]] > start[probed[i]]]
@@ -107,8 +112,12 @@ class Index:
                 table[m, : len(b)] = b @ x[s]
             rows = rows[ids[rows] != query_ids[i]]
             rough = near[i, lists[rows]] + table.ravel()[flat[rows]].sum(1)
-            if len(rows) > rerank:  # with all ties, as rows of one code may differ
-                rows = rows[rough >= np.partition(rough, -rerank)[-rerank]]
+            most = max(rerank, k)
+            if len(rows) > most:
+                first = rough >= np.partition(rough, -most)[-most]
+                exact = vectors[rows[first]] @ x
+                least = np.partition(exact, -k)[-k]
+                rows = rows[first | ~(rough + error[rows] * np.sqrt(x @ x) < least)]
             exact = vectors[rows] @ x
             best = top(exact, ids[rows], k)
             out.append((np.full(len(best), i), ids[rows[best]], exact[best]))
@@ -145,7 +154,7 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     if not rows:
         return df.sparkSession.createDataFrame([], kind)
     sample = good.orderBy(F.xxhash64("id"), "id").limit(train).select("v").toPandas().v
-    index = Index(np.stack(sample.to_numpy()), rows, k, target=target)
+    index = Index(np.stack(sample.to_numpy()), rows)
 
     @F.arrow_udf(T.StructType([T.StructField("list", T.IntegerType()), T.StructField("code", T.BinaryType())]))
     def indexed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -158,6 +167,29 @@ def search(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "
     held = np.zeros(len(index.centres), np.int64)
     held[[name for name, _ in in_list]] = [n for _, n in in_list]
 
+    some = good.where(is_query).distinct().orderBy(F.xxhash64("id"), F.xxhash64("v")).limit(PROBE_QUERIES).toPandas()
+    if len(some):
+        tried, tried_ids = np.stack(some.v.to_numpy()), some.id.to_numpy()
+
+        def nearest_of_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = [(np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(tried)
+            for batch in batches:
+                ids, own = batch["id"].to_numpy(), batch["list"].to_numpy()
+                scores = tried @ matrix(batch["v"], dim).T
+                for i, mine in enumerate(tried_ids):
+                    here = np.flatnonzero(ids != mine)
+                    score, id_, list_ = (np.concatenate(x) for x in zip(best[i], (scores[i, here], ids[here], own[here]), strict=True))
+                    few = top(score, id_, k)
+                    best[i] = score[few], id_[few], list_[few]
+            n = [len(b[0]) for b in best]
+            score, id_, list_ = (np.concatenate(x) for x in zip(*best, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(best)), n), pa.int32()), pa.array(score), pa.array(id_, pa.int64()), pa.array(list_, pa.int32())], ["place", "score", "id", "list"])
+
+        true = base.mapInArrow(nearest_of_part, "place int, score double, id long, list int")
+        turn = F.row_number().over(Window.partitionBy("place").orderBy(F.desc("score"), "id"))
+        true = true.withColumn("turn", turn).where(F.col("turn") <= k).groupBy("place").agg(F.collect_list("list").alias("lists")).collect()
+        index.measure(tried[[r.place for r in true]], [np.array(r.lists) for r in true], target)
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def probed(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for vectors, own in batches:

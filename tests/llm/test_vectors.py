@@ -103,3 +103,16 @@ def test_lists_are_probed_until_enough_rows_are_met(spark):
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     found = ivfpq.search(frame(spark, rows), F.col("id") < 3, k=20, target=0.01).collect()
     assert all(sum(r.query_id == i for r in found) == 20 for i in range(3))
+
+
+def test_neighbours_of_uneven_rows(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    x[rng.choice(6000, 20, replace=False)] *= 1000
+    found = ivfpq.search(frame(spark, [(i, [float(v) for v in r]) for i, r in enumerate(x)]), F.col("id") % 100 == 0, k=20, rerank=60, train=1000).collect()
+    pool, hit = x.astype(np.float32).astype(float), 0
+    for i in range(0, 6000, 100):
+        scores = pool @ pool[i]
+        scores[i] = -np.inf
+        hit += len({r.vec_id for r in found if r.query_id == i} & set(np.argsort(-scores)[:20].tolist()))
+    assert len(found) == 1200 and hit / 1200 >= 0.95
