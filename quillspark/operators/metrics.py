@@ -15,6 +15,8 @@ from ..functions import text as t
 
 #: Items that a document's text meets at a time.
 BLOCK = 256
+#: Members of a class that travel together.
+PIECE = 4096
 
 
 def precision_recall(rows: DataFrame, found: Column, gold: Column, by: list[str] | None = None) -> DataFrame:
@@ -56,20 +58,41 @@ def greedy_match(proposals: DataFrame, scores: DataFrame, least: int = 4) -> Dat
     return rows.select(F.inline(F.aggregate("p", start, claim)))
 
 
+def members(pairs: DataFrame, left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b) for every member of matching classes. pairs: (_l, _r), each once; left: (_l, a), right: (_r, b). Texts are compared once for each class; its members
+    travel as lists of PIECE at most, dealt over all tasks before they are spread out."""
+
+    def packed(rows: DataFrame, by: str, key: str) -> DataFrame:
+        all_ = rows.groupBy(by).agg(F.collect_list(F.struct(key)).alias("_all"))
+        starts = F.sequence(F.lit(1), F.size("_all"), F.lit(PIECE))
+        return all_.select(by, F.explode(F.transform(starts, lambda i: F.slice("_all", i, PIECE))).alias(f"_{by}"))
+
+    rows = pairs.join(packed(left, "_l", a), "_l").join(packed(right, "_r", b), "_r").select("__l", "__r")
+    rows = rows.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return rows.select(F.explode("__l").alias("_a"), "__r").select("_a", F.explode("__r").alias("_b")).select(f"_a.{a}", f"_b.{b}")
+
+
 def drift_matches(found: DataFrame, gold: DataFrame) -> DataFrame:
     """[J22] Events and gold events of notes with one file name whose claims, before and after, begin alike: the gold claim's first ten characters are in the found one."""
     name = lambda c: F.substring_index(c, "/", -1)
     left = found.select(name(F.col("note")).alias("name"), F.col("event_id"), F.col("before_claim").alias("x"), F.col("after_claim").alias("y"))
     right = gold.select(name(F.col("note")).alias("name"), F.col("id"), F.substring("before_claim", 1, 10).alias("u"), F.substring("after_claim", 1, 10).alias("v"))
-    return left.join(right, "name").where(F.contains("x", F.col("u")) & F.contains("y", F.col("v"))).select("event_id", "id")
+    left, right = left.select(F.struct("name", "x", "y").alias("_l"), "event_id"), right.select(F.struct("name", "u", "v").alias("_r"), "id")
+    met = left.select("_l", "_l.*").distinct().join(right.select("_r", "_r.*").distinct(), "name").where(F.contains("x", F.col("u")) & F.contains("y", F.col("v")))
+    return members(met.select("_l", "_r"), left, right, "event_id", "id")
 
 
 def concept_matches(found: DataFrame, gold: DataFrame) -> DataFrame:
     """[J23, F32] Concepts and gold concepts that share a note and whose terms contain one another or share half of the gold term's words."""
     left = found.select("concept_id", t.gold_words(F.col("term")).alias("x"), F.explode("notes").alias("note"))
     right = gold.select("id", t.gold_words(F.col("canonical_term")).alias("y"), F.explode("supporting_notes").alias("note"))
+    # A class has the same terms and notes, so a pair of members is found once, however many notes they share.
+    left = left.groupBy("concept_id").agg(F.sort_array(F.collect_set(F.struct("x", "note"))).alias("_l"))
+    right = right.groupBy("id").agg(F.sort_array(F.collect_set(F.struct("y", "note"))).alias("_r"))
     shared = F.size(F.array_intersect(F.split("x", " +"), F.split("y", " +"))) / F.size(F.array_distinct(F.split("y", " +")))
-    return left.join(right, "note").where(F.contains("x", F.col("y")) | F.contains("y", F.col("x")) | (shared >= 0.5)).select("concept_id", "id").distinct()
+    met = left.select("_l").distinct().select("_l", F.inline("_l")).join(right.select("_r").distinct().select("_r", F.inline("_r")), "note")
+    met = met.where(F.contains("x", F.col("y")) | F.contains("y", F.col("x")) | (shared >= 0.5)).select("_l", "_r").distinct()
+    return members(met, left, right, "concept_id", "id")
 
 
 def span_jaccard(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:

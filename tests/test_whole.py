@@ -4,6 +4,7 @@ import numpy as np
 
 from quillspark import catalog
 from quillspark.functions import text as t
+from quillspark.operators import metrics
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -65,3 +66,20 @@ def test_drafts_hold_whole_turns(spark, tmp_path):
     assert (found[1].total_sentences, found[1].cited_sentences, found[1].orphan_footnotes) == (6, 2, "3")
     assert (found[2].total_sentences, found[2].cited_sentences, found[2].orphan_footnotes) == (1, 1, "7")
     assert catalog.queries()["answer_strength"](spark, str(tmp_path)).collect()[0].drafts == 2
+
+
+def test_gold_terms_are_compared_once_for_all_copies(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "PIECE", 3, raising=False)
+    terms = ["hot ring", "ring", "cold bolt", None]
+    found = [(i, terms[i % 4], [f"n{i % 3}", f"n{i % 5}"]) for i in range(60)] + [(7, "ring", ["n9", "n1"])]
+    gold = [(i, ["hot ring small", "bolt", "ring"][i % 3], [f"n{i % 2}", f"n{i % 5}", "n9"]) for i in range(20)]
+    kept = metrics.concept_matches(spark.createDataFrame(found, "concept_id long, term string, notes array<string>"), spark.createDataFrame(gold, "id long, canonical_term string, supporting_notes array<string>"))
+    like = lambda x, y: y in x or x in y or len(set(x.split()) & set(y.split())) / len(set(y.split())) >= 0.5
+    assert sorted(tuple(r) for r in kept.collect()) == sorted({(c, g) for c, x, n in found for g, y, m in gold if x and set(n) & set(m) and like(x, y)})
+    events = [("a/x.md", i % 30, f"the claim {i % 2} before all", "after it") for i in range(60)]
+    due = [("b/x.md", i, f"the claim {i % 2} or so", "after it") for i in range(9)]
+    rows = metrics.drift_matches(spark.createDataFrame(events, "note string, event_id long, before_claim string, after_claim string"), spark.createDataFrame(due, "note string, id long, before_claim string, after_claim string"))
+    assert sorted(tuple(r) for r in rows.collect()) == sorted((e[1], g[1]) for e in events for g in due if g[2][:10] in e[2])
+    for plan in (kept, rows):  # what meets in the join by note are distinct texts
+        text = plan._jdf.queryExecution().optimizedPlan().toString()
+        assert any("_l#" in line and line.lstrip(" :+-").startswith("Aggregate") for line in text.splitlines())
