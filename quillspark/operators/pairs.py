@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as t
-from .retrieval import dense, scores
+from .retrieval import dense, over
 
 NEAR_DUPLICATE = 0.95
 NEIGHBOURS = 10
@@ -32,8 +32,7 @@ def neighbours(items: DataFrame, key: str, vector: str = "vector", block: str |
 
 def alike(items: DataFrame, key: str, vector: str, limit: float) -> DataFrame:
     """[J10, J12] (a, b, score): all pairs a < b whose inner product is over limit, however many a row has."""
-    found = scores(items, items.select(F.col(key).alias("query_id"), F.col(vector).alias("query_vector")), key, vector)
-    return found.where((F.col("query_id") < F.col(key)) & (F.col("score") > limit)).select(F.col("query_id").alias("a"), F.col(key).alias("b"), "score")
+    return over(items, key, vector, limit)
 
 
 def candidate_pairs(found: DataFrame, items: DataFrame, key: str, note: str, vector: str = "vector", limit: float = NEAR_DUPLICATE) -> DataFrame:

@@ -1,10 +1,11 @@
 """Registered queries over the whole of their tables, on tables made for it."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import text as t
-from quillspark.operators import metrics
+from quillspark.operators import metrics, pairs, retrieval
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -83,3 +84,24 @@ def test_gold_terms_are_compared_once_for_all_copies(spark, monkeypatch):
     for plan in (kept, rows):  # what meets in the join by note are distinct texts
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         assert any("_l#" in line and line.lstrip(" :+-").startswith("Aggregate") for line in text.splitlines())
+
+
+def test_blocks_of_vectors_rank_as_expressions_do(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "BLOCK", 40, raising=False)
+    monkeypatch.setattr(retrieval, "TILE", 16, raising=False)
+    rng = np.random.default_rng(4)
+    x = [[float(v) for v in r] for r in np.round(rng.normal(size=(150, 4)), 2)]
+    x[40:70], x[71:80] = [x[3]] * 30, [[v + 4e-7 for v in x[3]]] * 9  # copies, and rows that differ beyond the sixth place
+    x[100:106] = [None, [1.0, None, 0.0, 0.0], [1.0, 2.0], [float("nan")] * 4, [float("inf"), 0.0, 0.0, 0.0], [0.0] * 4]
+    items = spark.createDataFrame(list(enumerate(x)), "id long, v array<double>")
+    asked = items.where("id % 10 < 4").select(F.col("id").alias("query_id"), F.col("v").alias("query_vector"))
+    every = items.crossJoin(asked).select("query_id", "id", F.round(t.dot(F.col("v"), F.col("query_vector")), 6).alias("score"))
+    due = retrieval.top(every, 12, [F.desc("score"), F.col("id")])
+    found = retrieval.dense(items, asked, "id", "v", k=12)
+    assert sorted(map(str, found.collect())) == sorted(map(str, due.collect()))
+    assert "CartesianProduct" not in (plan := found._jdf.queryExecution().toString()) and "NestedLoop" not in plan and "FlatMapCoGroups" in plan
+
+
+def test_alike_pairs_are_those_over_the_limit_unrounded(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9500002, 0.0]), (2, [0.95, 0.0])], "id long, v array<double>")
+    assert [tuple(r) for r in pairs.alike(rows, "id", "v", 0.95).collect()] == [(0, 1, 0.95)]
