@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import text as t
-from quillspark.operators import metrics, pairs, retrieval
+from quillspark.operators import claims, metrics, pairs, retrieval
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -105,3 +105,20 @@ def test_blocks_of_vectors_rank_as_expressions_do(spark, monkeypatch):
 def test_alike_pairs_are_those_over_the_limit_unrounded(spark):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.9500002, 0.0]), (2, [0.95, 0.0])], "id long, v array<double>")
     assert [tuple(r) for r in pairs.alike(rows, "id", "v", 0.95).collect()] == [(0, 1, 0.95)]
+
+
+def test_texts_are_split_into_claims_once(spark):
+    notes = spark.createDataFrame([("a", "This is one claim. It is probably another claim."), ("b", ""), ("c", None)], "source_rel string, raw string")
+    rows = claims.tentative(claims.mock_confidence(claims.claims(notes, ["source_rel"], "raw")).drop("context"))
+    assert [(r.source_rel, r.sentence_index) for r in rows.collect()] == [("a", 1)]
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and "RepartitionByExpression" in plan
+
+
+def test_drift_is_counted_in_one_pass(spark):
+    revisions = spark.range(3)
+    aligned = spark.createDataFrame([("it is red", "it is blue", 0.4), ("it is red", "It is red!", 0.9), ("cats sleep long", "dogs never sleep", 0.65)], "before_claim string, after_claim string, cosine double")
+    judge = lambda rows: rows.withColumns({"drift": F.col("cosine") < 0.7, "score": F.when(F.col("cosine") < 0.5, 5).otherwise(3)})
+    kept = aligned.where(~claims.is_noise(F.col("before_claim"), F.col("after_claim")))
+    due = claims.drift_counts(revisions, aligned, kept, claims.drift_events(judge(kept))).first()
+    assert claims.drift_totals(revisions, aligned, judge).first() == due and tuple(due) == (3, 3, 2, 1)
