@@ -60,8 +60,7 @@ def drift_counters(spark, sf_dir):
     """[A11]"""
     rows = turn_claims(spark, sf_dir)
     aligned = claims.align(rows, rows.withColumn("turn", F.col("turn") - 1), ["conv_id", "turn"], low=0.3)
-    kept = aligned.where(~claims.is_noise(F.col("before_claim"), F.col("after_claim")))
-    return claims.drift_counts(table(spark, sf_dir, "conversations"), aligned, kept, claims.drift_events(judged_by_cosine(kept)))
+    return claims.drift_totals(table(spark, sf_dir, "conversations"), aligned, judged_by_cosine)
 
 
 @query
