@@ -189,7 +189,7 @@ def passage_scores(items: DataFrame, docs: DataFrame, item: str, doc: str, text:
     meets the items that are left in blocks of about BLOCK, so it travels once for each block.
     """
     asked = items.select(item, t.content_words(F.col(text)).alias("asked"), F.size(t.plain_words(F.col(text))).alias("size"))
-    words = docs.select(doc, F.explode(t.content_words(F.col(text))).alias("word"))
+    words = docs.select(doc, F.explode_outer(t.content_words(F.col(text))).alias("word")).where("word IS NOT NULL")  # outer: as in bm25()
     met = words.join(asked.select(item, F.size("asked").alias("n"), F.explode("asked").alias("word")), "word").groupBy(item, doc, "n").agg(F.count("*").alias("both"))
     blocks = max(1, -(-items.count() // BLOCK))
     left = met.where("both >= 0.25 * n").select(item, doc).join(asked, item).withColumn("_block", F.pmod(F.xxhash64(item), F.lit(blocks)))

@@ -122,3 +122,11 @@ def test_drift_is_counted_in_one_pass(spark):
     kept = aligned.where(~claims.is_noise(F.col("before_claim"), F.col("after_claim")))
     due = claims.drift_counts(revisions, aligned, kept, claims.drift_events(judge(kept))).first()
     assert claims.drift_totals(revisions, aligned, judge).first() == due and tuple(due) == (3, 3, 2, 1)
+
+
+def test_words_of_a_text_are_found_once_for_its_postings(spark):
+    docs = spark.createDataFrame([(1, "Red fish, blue fish."), (2, ""), (3, None), (4, "one fish")], "doc_id long, text string")
+    found = retrieval.bm25(docs, spark.createDataFrame([(9, "fish one")], "query_id long, query string"), "doc_id")
+    assert [r.doc_id for r in found.orderBy("rank").collect()] == [4, 1]
+    lines = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+    assert not any("regexp_extract_all(lower(text" in line for line in lines)
