@@ -130,3 +130,25 @@ def test_words_of_a_text_are_found_once_for_its_postings(spark):
     assert [r.doc_id for r in found.orderBy("rank").collect()] == [4, 1]
     lines = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
     assert not any("regexp_extract_all(lower(text" in line for line in lines)
+
+
+def test_a_text_is_scored_where_its_words_were_found(spark, monkeypatch):
+    """As by joins with a built index, with copies and ties over several tasks, tiles and lots; what is shuffled are a task's first k of a query."""
+    monkeypatch.setattr(retrieval, "TILE", 16)
+    monkeypatch.setattr(retrieval, "CELLS", 64, raising=False)
+    rng = np.random.default_rng(5)
+    line = lambda n: " ".join(rng.choice([f"w{i}" for i in range(30)], n))
+    texts = [line(int(rng.integers(0, 25))) for _ in range(150)]
+    texts[20:60], texts[70], texts[71] = [texts[3]] * 40, None, ""
+    docs = spark.createDataFrame([(i * 7 % 150, x) for i, x in enumerate(texts)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([*((i, line(8)) for i in range(12)), (12, texts[3]), (13, None), (14, "w1 unknown"), (None, "w2"), (3, "w4 w5")], "query_id long, query string")
+    one = asked.where("query_id <> 3")
+    found, due = retrieval.bm25(docs, one, "doc_id", k=7), retrieval.bm25(docs, one, "doc_id", k=7, index=retrieval.postings(docs, "doc_id", "text"))
+    assert sorted(map(str, found.collect())) == sorted(map(str, due.collect())) and found.count() > 80
+    assert "MapInArrow" in (plan := found._jdf.queryExecution().toString()) and "Join" not in plan
+    both = retrieval.bm25(docs, asked, "doc_id", k=7).where("query_id = 3 AND rank = 1").collect()
+    terms_once = asked.where("query_id = 3").groupBy("query_id").agg(F.array_join(F.collect_list("query"), " ").alias("query"))
+    assert both == retrieval.bm25(docs, terms_once, "doc_id", k=1).collect()
+    assert retrieval.bm25(docs, asked.where("query_id < 0"), "doc_id").count() == 0 and retrieval.bm25(docs.where("doc_id < 0"), asked, "doc_id").count() == 0
+    copies = docs.unionAll(docs.where("doc_id = 0"))  # a key in common: by joins
+    assert "MapInArrow" not in retrieval.bm25(copies, one, "doc_id")._jdf.queryExecution().toString()
