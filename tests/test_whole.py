@@ -152,3 +152,14 @@ def test_a_text_is_scored_where_its_words_were_found(spark, monkeypatch):
     assert retrieval.bm25(docs, asked.where("query_id < 0"), "doc_id").count() == 0 and retrieval.bm25(docs.where("doc_id < 0"), asked, "doc_id").count() == 0
     copies = docs.unionAll(docs.where("doc_id = 0"))  # a key in common: by joins
     assert "MapInArrow" not in retrieval.bm25(copies, one, "doc_id")._jdf.queryExecution().toString()
+
+
+def test_terms_of_a_text_are_counted_where_they_were_found(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(retrieval, "TILE", 3)
+    docs = [(1, "Red fish, blue fish."), (2, ""), (3, None), (4, "one fish"), (5, "Blue BLUE"), (None, "red ÄRA_9")]
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.queries()["bm25_index"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == {("red", 2, 2), ("fish", 2, 3), ("blue", 2, 3), ("one", 1, 1), ("ära_9", 1, 1)} and found.columns == ["term", "df", "occurrences"]
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(") == 1  # no hits by term and text
+    copies = spark.createDataFrame([*docs, (4, "two fish")], "doc_id long, text string")  # of one length: a posting
+    assert {tuple(r) for r in retrieval.term_totals(copies, "doc_id", "text").where("term = 'fish'").collect()} == {("fish", 2, 4)}
