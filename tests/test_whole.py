@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import text as t
-from quillspark.operators import claims, metrics, pairs, retrieval
+from quillspark.operators import claims, clusters, metrics, pairs, retrieval
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -163,3 +163,19 @@ def test_terms_of_a_text_are_counted_where_they_were_found(spark, tmp_path, monk
     assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning(") == 1  # no hits by term and text
     copies = spark.createDataFrame([*docs, (4, "two fish")], "doc_id long, text string")  # of one length: a posting
     assert {tuple(r) for r in retrieval.term_totals(copies, "doc_id", "text").where("term = 'fish'").collect()} == {("fish", 2, 4)}
+
+
+def test_kmeans_sends_no_distances_between_centres_to_the_driver(spark):
+    """Once k times k times the length of a vector passes a million, the solver by rows has a job of k tasks in each iteration, which return all distances between centres."""
+    rng = np.random.default_rng(6)
+    points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(400, 64)))], "id long, vector array<double>").coalesce(2)
+    sc, k = spark.sparkContext, 130
+    sc.setJobGroup("kmeans", "kmeans")
+    try:
+        found = clusters.kmeans(points, k=k)
+        tracker = sc.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("kmeans") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages if s) < k
+    assert found.count() == 400 and found.agg(F.countDistinct("cluster_id")).first()[0] > k // 2
