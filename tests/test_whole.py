@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from quillspark import catalog
 from quillspark.functions import text as t
-from quillspark.operators import claims, clusters, metrics, pairs, retrieval
+from quillspark.operators import claims, clusters, metrics, notes, pairs, retrieval
 
 
 def test_pairs_across_labels_without_a_cap(spark, tmp_path):
@@ -179,3 +179,16 @@ def test_kmeans_sends_no_distances_between_centres_to_the_driver(spark):
         sc.setLocalProperty("spark.jobGroup.id", None)
     assert stages and max(s.numTasks for s in stages if s) < k
     assert found.count() == 400 and found.agg(F.countDistinct("cluster_id")).first()[0] > k // 2
+
+
+def test_sections_are_packed_once_and_tokens_counted_as_by_the_pattern(spark):
+    rng = np.random.default_rng(7)
+    for top in (128, 256, 0x3000):
+        for text in ("".join(map(chr, rng.integers(0, top, 30))) for _ in range(400)):
+            assert notes.count_tokens(text) == len(notes.TOKENS.findall(text))
+    body = "\n\n".join(" ".join(f"Word{i} is here." for i in range(90)) for _ in range(3))
+    rows = notes.chunks(spark.createDataFrame([("a", f"# T\n{body}\n## U\nshort é — “q”"), ("b", ""), ("c", None)], "source_rel string, body string"))
+    due = [("a", i, c[0], c[3]) for i, c in enumerate([*notes.pack(f"{body}\n"), *notes.pack("short é — “q”")])]
+    assert sorted(tuple(r) for r in rows.select("source_rel", "chunk_index", "text", "token_count").collect()) == due and len(due) > 2
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("ArrowEvalPython ") + plan.count("ArrowEvalPython[") == 1 and "size(found" not in rows._jdf.queryExecution().optimizedPlan().toString()
