@@ -24,6 +24,7 @@ def kmeans(points: DataFrame, vector: str = "vector", k: int | None = None, seed
     if not n:
         return rows.withColumn("cluster_id", F.lit(None).cast("int"))
     rows = rows.withColumn("_features", array_to_vector(F.col(vector).cast("array<double>")))
+    # By blocks: below 1000 clusters the solver by rows sends all distances between centres to the driver in each iteration.
     model = KMeans(k=default_k(n) if k is None else k, seed=seed, featuresCol="_features", predictionCol="cluster_id", solver="block").fit(rows)
     return model.transform(rows).drop("_features")
 
